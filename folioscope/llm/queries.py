@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from folioscope.llm import exact, shard, urls
+from folioscope.llm import exact, pii, shard, substrings, tokens, urls
 
 QUERIES = {
+    "op2_anchor_expansion_pii": pii.op2,
     "op4_stratified_shards": shard.op4,
+    "op6_suffix_tree_repeats": substrings.op6,
     "op7_host_reputation": urls.op7,
     "op8_progressive_exact_dedup": exact.op8,
+    "op9_offset_mapped_tokens": tokens.op9,
 }
 ORACLE_SQL = {
     "op7_host_reputation": urls.OP7_SQL,

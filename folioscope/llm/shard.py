@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import body, cut
 
-#: Rows of one ranking window, about: more rows make more windows.
-WINDOW_ROWS = 50_000
+#: Rows of one ranking window at most, about; a source has MIN_WINDOWS of them at least.
+WINDOW_ROWS, MIN_WINDOWS = 20_000, 256
 
 
 def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple = ()) -> DataFrame:
@@ -27,9 +27,9 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 17, doc_id:
     chosen += [F.xxhash64(F.lit(seed), F.col(doc_id), F.crc32(body(text))).alias("h")] + ([F.struct(*carry).alias("row")] if carry else [])
     rows = cut(docs.select(*chosen))
     total = rows.count()
-    bits = max(0, (total // WINDOW_ROWS)).bit_length()
+    bits = max(MIN_WINDOWS, total // WINDOW_ROWS).bit_length() - 1
     ranges = 1 << bits
-    rows = rows.withColumn("b", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("b", F.shiftrightunsigned("h", 64 - bits))
     cells = rows.groupBy("source", "b").count()
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy("source")).alias("n"))
