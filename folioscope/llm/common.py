@@ -64,8 +64,11 @@ def ngram_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return words
     size = min(size, n)
     out = np.zeros(n - size + 1, dtype=np.uint64)
+    factor = 0x9E3779B97F4A7C15
     for j in range(size):
-        out = mix(out + words[j : n - size + 1 + j] + np.uint64(0x9E3779B97F4A7C15))
+        out += words[j : n - size + 1 + j] * np.uint64(factor)
+        factor = factor * 0xD1342543DE82EF95 % 2**64
+    out = mix(out + np.uint64(size))
     return out
 
 

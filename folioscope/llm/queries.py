@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioscope.llm import exact, pii, shard, substrings, tokens, urls
+from folioscope.llm import exact, minhash, pii, shard, substrings, tokens, urls
 
 QUERIES = {
     "op2_anchor_expansion_pii": pii.op2,
     "op4_stratified_shards": shard.op4,
+    "op5_order_minhash": minhash.op5,
     "op6_suffix_tree_repeats": substrings.op6,
     "op7_host_reputation": urls.op7,
     "op8_progressive_exact_dedup": exact.op8,
