@@ -2,12 +2,12 @@
 
 A repeat is a run of `window` equal words at two places. Three steps find all of them:
 
-1. Of each window the run of GRAM words with the least hash is its anchor. Equal windows have equal anchors
-   at the same distance, so only windows whose anchor occurs twice in the corpus can repeat; the suffixes of
-   all other windows are leaves right below the root and are never moved.
-2. The suffixes at the remaining windows are dealt out by the anchor, their prefix of GRAM words. A group
-   too large for a task's memory is split by longer prefixes, of `window` words, below which nothing
-   matters any more.
+1. Of each window the run of GRAM words with the least hash is its anchor. Equal windows have equal anchors,
+   so only windows whose anchor occurs twice in the corpus can repeat; the suffixes of all other windows are
+   leaves right below the root and are never moved. Consecutive windows of one anchor travel as one segment.
+2. The suffixes at the remaining windows are dealt out by the anchor, their prefix of GRAM words. Of a group
+   too large for a task's memory, equal segments are first reduced to the earliest; the suffixes of the rest
+   are split by longer prefixes, of `window` words, below which nothing matters any more.
 3. Each group's subtree is built as its sorted suffixes with their common prefix lengths. An internal node
    as deep as `window` words holds the places of one repeat; all but its first place go.
 """
@@ -26,24 +26,27 @@ from folioscope.llm.common import body, cut, ngram_hashes, prepare, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GRAM = 6
-#: Anchors with more places than this are split by longer prefixes; so many segments are held in a task at least.
-GROUP_PLACES = 2_000
-TREE_SUFFIXES = 50_000
+#: A group of so many segments (under 40 words each, as a rule) takes about 100 MB as a tree; larger ones are split.
+GROUP_PLACES = 20_000
+#: Groups are taken together until they hold so many words.
+TREE_WORDS = 100_000
 #: In place of a null doc_id.
 LAST_ID = 2**63 - 1
 
 
-def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors, in order, with their places and the first and last window of each; for word hashes."""
-    none = np.zeros(0, dtype=np.int64)
+def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of word hashes: the anchors' hashes in text order, and the first and last window of each anchor's run of windows."""
     if len(words) < window:
-        return none, none, none, none
-    grams = ngram_hashes(words, min(GRAM, window))
-    width = window - min(GRAM, window) + 1
-    at = np.arange(len(words) - window + 1) + np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    place = at[first]
-    return grams[place].view(np.int64), place, first, np.append(first[1:], len(at)) - 1
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    least = ngram_hashes(words, min(GRAM, window))
+    width, done = window - min(GRAM, window) + 1, 1
+    while done < width:  # least of `done` grams from each place on
+        step = min(done, width - done)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        done += step
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    return least[first].view(np.int64), first, np.append(first[1:], len(least)) - 1
 
 
 def _digest(words: list[str]) -> str:
@@ -56,7 +59,9 @@ def _scan(window: int):
             counts, digests, keys, twice = [], [], [], []
             for text in batch.column(0).to_pylist():
                 words = WORD.findall(text)
-                found, times = np.unique(anchors(word_hashes(words), window)[0], return_counts=True)
+                key, first, last = anchors(word_hashes(words), window)
+                found, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+                times[inverse[last - first >= window - GRAM + 1]] = 2  # too long a run for one place
                 counts.append(len(words))
                 digests.append(_digest(words))
                 keys.append(found)
@@ -67,30 +72,28 @@ def _scan(window: int):
     return run
 
 
-def _segments(window: int, split: bool):
-    """Of each document, the words of the windows at its shared anchors; or, to split a group, of each window by itself."""
+def _segments(window: int):
+    """Of each document, the words of the windows at its shared anchors."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            docs, texts, starts, hashes, runs = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for doc, th, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = WORD.findall(text)
-                found, _, first, last = anchors(word_hashes(words), window)
-                for k in np.flatnonzero(np.isin(found, np.array(keys, dtype=np.int64))):
-                    a, b = int(first[k]), int(last[k])
-                    for s, e in ((i, i) for i in range(a, b + 1)) if split else ((a, b),):
-                        run_of = " ".join(words[s : e + window])
-                        for column, value in zip(out, (doc, th, s, int(found[k]), run_of), strict=True):
-                            column.append(value)
-            if split:
-                out[4] = [hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest() for w in out[4]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["doc_id", "th", "start", "key", "words"])
+                found, first, last = anchors(word_hashes(words), window)
+                at = np.flatnonzero(np.isin(found, np.array(keys, dtype=np.int64)))
+                docs += [doc] * len(at)
+                texts += [th] * len(at)
+                starts.append(first[at])
+                hashes.append(found[at])
+                runs += [" ".join(words[a:b]) for a, b in zip(first[at].tolist(), (last[at] + window).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(runs, pa.string())], ["doc_id", "th", "start", "key", "words"])
 
     return run
 
 
-def deep_nodes(groups: list[tuple[int, int, int, int, list[str]]], window: int) -> list[tuple[int, int, int]]:
-    """Places (doc, th, start) of repeated windows but their first; groups: (key, doc, th, start, words), whole groups.
+def deep_nodes(groups: list[tuple[int, int, int, int, list[str]]], window: int) -> np.ndarray:
+    """Runs (doc, th, start, windows) of repeated windows but their first; groups: (key, doc, th, start, words), whole groups.
 
     Words become numbers, each suffix a row of `window` of them; the sorted rows and the lengths of their
     common prefixes are the tree, rows that share `window` words a deep node.
@@ -109,15 +112,21 @@ def deep_nodes(groups: list[tuple[int, int, int, int, list[str]]], window: int)
     deep = (suffixes[order[1:]] == suffixes[order[:-1]]).all(axis=1)
     place = np.stack((docs, texts, starts), axis=1)[order]
     again = deep & (place[1:] != place[:-1]).any(axis=1)  # rows that repeat a document are no second place
-    return [tuple(p) for p in place[1:][again].tolist()]
+    gone = place[1:][again]
+    gone = gone[np.lexsort(gone.T[::-1])]
+    if not len(gone):
+        return np.zeros((0, 4), dtype=np.int64)
+    gone = gone[np.concatenate(([True], (gone[1:] != gone[:-1]).any(axis=1)))]
+    head = np.flatnonzero(np.concatenate(([True], (gone[1:] - gone[:-1] != [0, 0, 1]).any(axis=1))))
+    return np.column_stack((gone[head], np.diff(np.append(head, len(gone)))))
 
 
 def _trees(window: int):
-    """Streams rows sorted by key and builds the trees of whole key groups, TREE_SUFFIXES windows or more at a time."""
+    """Streams rows sorted by key and builds the trees of whole key groups, TREE_WORDS words or more at a time."""
 
     def flush(held):
-        rows = deep_nodes(held, window) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "th", "start"])
+        rows = deep_nodes(held, window) if held else np.zeros((0, 4), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["doc_id", "th", "start", "n"])
 
     def run(batches):
         held: list = []
@@ -125,9 +134,9 @@ def _trees(window: int):
         for batch in batches:
             for key, doc, th, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[-1][0] != key:
-                    if len(held) - group == 1:  # a suffix group of one place
+                    if len(held) - group == 1 and len(held[-1][4]) < 2 * window:  # one place only
                         size -= len(held.pop()[4])
-                    if size >= TREE_SUFFIXES:
+                    if size >= TREE_WORDS:
                         yield flush(held)
                         held, size = [], 0
                     group = len(held)
@@ -142,8 +151,8 @@ def repeated_windows(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
     """Scans the documents and finds the repeats; see `remove_repeats` for the rules.
 
     Returns the scan, one row for each row given (doc_id, th, check, len, n_words, digest, first_id), and the
-    table (doc_id, th, text, starts) of those documents that hold repeats of earlier text, with the sorted
-    starts of the windows that go.
+    table (doc_id, th, text, runs) of those documents that hold repeats of earlier text, with the runs
+    (start, n) of windows that go.
     """
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body(text).alias("text"))
@@ -161,23 +170,28 @@ def repeated_windows(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
     whole = base.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", "text").repartition("doc_id", "th")
     live = whole.join(heads, ["doc_id", "th"])
     schema = "doc_id long, th long, start int, key long, words string"
-    trees = live.where("size(keys) > 0").select("doc_id", "th", "text", "keys").mapInArrow(_segments(window, False), schema)
+    trees = live.where("size(keys) > 0").select("doc_id", "th", "text", "keys").mapInArrow(_segments(window), schema)
     trees = trees.select("key", "doc_id", "th", "start", "words").repartition("key").sortWithinPartitions("key")
-    gone = trees.mapInArrow(_trees(window), "doc_id long, th long, start int")
-    split = live.where("size(large) > 0").select("doc_id", "th", "text", F.col("large").alias("keys")).mapInArrow(_segments(window, True), schema)
-    place = F.struct("doc_id", "th", "start")
-    split = split.select(F.col("words").alias("prefix"), place.alias("place"))
+    gone = trees.mapInArrow(_trees(window), "doc_id long, th long, start int, n int")
+    large = live.where("size(large) > 0").select("doc_id", "th", "text", F.col("large").alias("keys")).mapInArrow(_segments(window), schema)
+    large = large.select("key", "words", F.struct("doc_id", "th", "start").alias("place"))
+    least = large.groupBy("key", "words").agg(F.min("place").alias("least"))
+    copies = large.join(least, ["key", "words"]).where("place > least").select("place.*", (F.size(F.split("words", " ")) - (window - 1)).alias("n"))
+    split = least.withColumn("w", F.split("words", " ")).select("least", "w", F.posexplode(F.sequence(F.lit(1), F.size("w") - (window - 1))).alias("i", "from"))
+    split = split.select(F.md5(F.array_join(F.slice("w", F.col("from"), window), " ")).alias("prefix"), F.struct("least.doc_id", "least.th", (F.col("least.start") + F.col("i")).alias("start")).alias("place"))
     least = split.groupBy("prefix").agg(F.min("place").alias("least"))
-    gone = gone.union(split.join(least, "prefix").where("place > least").select("place.*"))
-    starts = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    split = split.join(least, "prefix").where("place > least").select("place.*", F.lit(1).alias("n"))
+    gone = gone.union(copies).union(split)
+    starts = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     return one.drop("keys", "twice"), whole.join(starts, ["doc_id", "th"])
 
 
-def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of `starts`."""
+def covered(runs: list[dict], n: int, window: int) -> np.ndarray:
+    """Which of n words lie in a window of `runs`."""
     edges = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, np.minimum(starts + window, n), -1)
+    for r in runs:
+        edges[r["start"]] += 1
+        edges[r["start"] + r["n"] - 1 + window] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -185,9 +199,9 @@ def _kept(window: int):
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc, th, text, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, th, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = WORD.findall(text)
-                stay = ~covered(np.array(starts, dtype=np.int64), len(words), window)
+                stay = ~covered(runs, len(words), window)
                 for column, value in zip(out, (doc, th, int((~stay).sum()), " ".join(w for w, k in zip(words, stay, strict=True) if k)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["doc_id", "th", "n_removed", "kept"])
@@ -205,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", te
     same document. A null doc_id comes after all others.
     """
     scan, hit = repeated_windows(docs, window, doc_id, text)
-    return scan, hit.select("doc_id", "th", "text", "starts").mapInArrow(_kept(window), "doc_id long, th long, n_removed long, kept string")
+    return scan, hit.select("doc_id", "th", "text", "runs").mapInArrow(_kept(window), "doc_id long, th long, n_removed long, kept string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
