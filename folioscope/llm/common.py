@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -21,9 +23,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once for each context, so workers need no installed copy."""
+    context, top = spark.sparkContext, Path(__file__).parents[1]
+    if getattr(context, "_folioscope_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="folioscope-package-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._folioscope_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder that all executors share."""
     prepare(df.sparkSession)
