@@ -88,6 +88,15 @@ def ngram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values
+
+
 def occurrences(values: np.ndarray) -> np.ndarray:
     """For each value the number of equal values before it."""
     n = len(values)

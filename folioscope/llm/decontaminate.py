@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD, body, mix, ngram_hashes, prepare, word_hashes
+from folioscope.llm.common import WORD, body, member, mix, ngram_hashes, prepare, word_hashes
 
 SHINGLE = 5
 #: Fingerprints of 128 bits in 8 blocks. Within RADIUS some block differs by NEAR bits at most, so probing each
@@ -75,7 +75,7 @@ class ItemIndex:
             return []
         shingles = ngram_hashes(words, SHINGLE)
         at = np.flatnonzero(self.filter[shingles >> np.uint64(64 - _FILTER_BITS)])
-        at = at[np.isin(shingles[at], self.all)]
+        at = at[member(shingles[at], self.all)]
         best: dict[int, tuple[float, int, int]] = {}
         for size, own in self.of_size.items():
             width = min(size, len(shingles))
@@ -83,7 +83,7 @@ class ItemIndex:
             if len(at) < least:
                 continue
             known = np.zeros(len(shingles) + 1, dtype=np.int64)
-            known[at[np.isin(shingles[at], own)] + 1] = 1
+            known[at[member(shingles[at], own)] + 1] = 1
             known = np.cumsum(known)
             starts = np.flatnonzero(known[width:] - known[:-width] >= least)
             for part in np.array_split(starts, len(starts) // 256 + 1):
