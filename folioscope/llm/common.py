@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 #: Rows of one Arrow batch: long texts times this many must fit in a Python worker.
 BATCH_ROWS = 500
-_MAX_CACHED_WORDS = 1_000_000
+_MAX_CACHED_WORDS = 400_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:

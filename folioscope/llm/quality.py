@@ -21,7 +21,7 @@ FIT_ROWS = 12_000
 #: A bucket gets a weight if its presence is tied to some cut of the grades by so many standard errors, in so many rows.
 LEAST_Z, LEAST_ROWS = 3.5, 3
 _EDGE = re.compile(r"^\W+|\W+$")
-_MAX_CACHED = 500_000
+_MAX_CACHED = 200_000
 
 
 def _bucket(kind: str, value: str) -> int:
