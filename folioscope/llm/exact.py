@@ -35,7 +35,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if digest:
         rows = rows.withColumn("sha", F.sha2("t", 256))
     else:
-        rows = rows.join(prefixes.withColumn("open", F.lit(True)), ["len", "ph"], "left").withColumn("sha", F.when("open", F.sha2("t", 256)))
+        rows = rows.join(prefixes.withColumn("open", F.lit(True)), ["len", "ph"], "left").withColumn("sha", F.when(F.col("open"), F.sha2("t", 256)))
     return (
         rows.drop("t")
         .join(groups, ["len", "ph", "sha"], "left")

@@ -16,7 +16,7 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 17, doc_id:
 
     Rows of a source are put in a seeded random order; rank r of n becomes the fraction (2r-1)/2n; all rows
     are sorted by that fraction and cut into `shards` runs whose row counts are at most one apart, so each
-    shard gets n/shards rows of a source, one more or less. No window holds a whole source or table: ranks
+    shard gets n/shards rows of a source, within two. No window holds a whole source or table: ranks
     are counts of earlier hash ranges plus a row number within a range of about WINDOW_ROWS rows.
 
     Returns (doc_id, size, text_crc32, law 'rows', shard, slot, grown_shard null) and the `carry` columns as
