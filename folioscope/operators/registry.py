@@ -263,7 +263,7 @@ def merge_entities(entities: DataFrame, facts: DataFrame, ids: list[str], keep:
     rows = rows.withColumn("book_ids", F.when(mine, F.array_distinct(F.concat("book_ids", T.literals(more.books)))).otherwise(F.col("book_ids")))
     owned = owners(away)
     moved = facts.join(F.broadcast(owned.withColumn("moves", F.lit(True))), ["entity_id", "book_id"], "left")
-    return rows, moved.withColumn("entity_id", F.when("moves", keep).otherwise(F.col("entity_id"))).select(*facts.columns), keep
+    return rows, moved.withColumn("entity_id", F.when(F.col("moves"), keep).otherwise(F.col("entity_id"))).select(*facts.columns), keep
 
 
 def split_cross_book(entities: DataFrame, facts: DataFrame, entity_id: str) -> tuple[DataFrame, DataFrame]:
