@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import body, cut, ngram_hashes, prepare, word_hashes
+from folioscope.llm.common import body, cut, member, ngram_hashes, prepare, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GRAM = 6
@@ -34,19 +34,22 @@ TREE_WORDS = 100_000
 LAST_ID = 2**63 - 1
 
 
-def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of word hashes: the anchors' hashes in text order, and the first and last window of each anchor's run of windows."""
+def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of word hashes: the anchors' hashes in text order, the first and last window of each anchor's run of windows,
+    and the hashes of grams that recur so near that a single run may hold equal windows."""
     if len(words) < window:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    least = ngram_hashes(words, min(GRAM, window))
+        return none, none, none, none
+    grams = least = ngram_hashes(words, min(GRAM, window))
     width, done = window - min(GRAM, window) + 1, 1
     while done < width:  # least of `done` grams from each place on
         step = min(done, width - done)
         least = np.minimum(least[: len(least) - step], least[step:])
         done += step
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    return least[first].view(np.int64), first, np.append(first[1:], len(least)) - 1
+    near = [grams[d:][grams[d:] == grams[:-d]] for d in range(1, min(width, len(grams) - 1) + 1)]
+    near = np.unique(np.concatenate(near)) if near else grams[:0]
+    return least[first].view(np.int64), first, np.append(first[1:], len(least)) - 1, near.view(np.int64)
 
 
 def _digest(words: list[str]) -> str:
@@ -59,9 +62,9 @@ def _scan(window: int):
             counts, digests, keys, twice = [], [], [], []
             for text in batch.column(0).to_pylist():
                 words = WORD.findall(text)
-                key, first, last = anchors(word_hashes(words), window)
-                found, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-                times[inverse[last - first >= window - GRAM + 1]] = 2  # too long a run for one place
+                key, _, _, near = anchors(word_hashes(words), window)
+                found, times = np.unique(key, return_counts=True)
+                times[member(found, np.sort(near))] = 2
                 counts.append(len(words))
                 digests.append(_digest(words))
                 keys.append(found)
@@ -80,8 +83,8 @@ def _segments(window: int):
             docs, texts, starts, hashes, runs = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for doc, th, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = WORD.findall(text)
-                found, first, last = anchors(word_hashes(words), window)
-                at = np.flatnonzero(np.isin(found, np.array(keys, dtype=np.int64)))
+                found, first, last, _ = anchors(word_hashes(words), window)
+                at = np.flatnonzero(member(found, np.sort(np.array(keys, dtype=np.int64))))
                 docs += [doc] * len(at)
                 texts += [th] * len(at)
                 starts.append(first[at])
@@ -130,16 +133,12 @@ def _trees(window: int):
 
     def run(batches):
         held: list = []
-        size, group = 0, 0
+        size = 0
         for batch in batches:
             for key, doc, th, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][0] != key:
-                    if len(held) - group == 1 and len(held[-1][4]) < 2 * window:  # one place only
-                        size -= len(held.pop()[4])
-                    if size >= TREE_WORDS:
-                        yield flush(held)
-                        held, size = [], 0
-                    group = len(held)
+                if held and held[-1][0] != key and size >= TREE_WORDS:
+                    yield flush(held)
+                    held, size = [], 0
                 held.append((key, LAST_ID if doc is None else doc, th, start, words.split(" ")))
                 size += len(held[-1][4])
         yield flush(held)

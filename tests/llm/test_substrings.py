@@ -37,6 +37,8 @@ def corpus(seed, n=60):
             parts += [p[a:], [rng.choice(words) for _ in range(rng.randint(0, 5))]]
         rows.append((doc, "\t\n "[rng.randint(0, 2)].join(x for p in parts for x in p)))
     rows += [(n + 1, rows[5][1]), (n + 2, rows[5][1] + " "), (n + 3, ""), (n + 4, None), (n + 5, " ".join(["same"] * 300)), (None, rows[7][1]), (n + 6, " ".join(passages[0] * 30))]
+    # repeats within one run of windows, of every period and just long enough
+    rows += [(n + 10 + 40 * p + k, f"a{p}{k} b{k} " + " ".join(f"q{p}{k}{j % p}" for j in range(20 + k)) + f" c{k}") for p in range(1, 7) for k in range(0, 16, 3)]
     return rows
 
 
