@@ -111,16 +111,16 @@ def occurrences(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_shingles(text: str | None, size: int = 5) -> np.ndarray:
-    """Hashes of the text's word shingles in order, each mixed with its occurrence number, so none repeats.
+def labelled_shingles(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the text's word shingles in order, each mixed with its occurrence number so that none repeats;
+    and which of them are first occurrences.
 
     Words are runs of word characters, lower-cased. A text of fewer words than `size` is one shingle, a
     text without words has none.
     """
     shingles = ngram_hashes(word_hashes(WORD.findall((text or "").lower())), size)
-    if len(shingles):
-        shingles = mix(shingles + occurrences(shingles).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return shingles
+    seen = occurrences(shingles) if len(shingles) else np.zeros(0, dtype=np.int64)
+    return mix(shingles + seen.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), seen == 0
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import WORD, body, bounded, cut, labelled_shingles, mix, prepare
 from folioscope.llm.components import connected_components
 
-#: Sketches of TUPLE shingles each: a pair of similarity 0.8 shares none with a chance of about 1 in 100,000.
+#: Sketches of TUPLE shingles each, and as many over first occurrences alone: a pair of similarity 0.8 shares none
+#: of the latter with a chance of about 1 in 100,000.
 SKETCHES, TUPLE = 16, 3
+#: Part of two texts' common shingles that must stand in the same order.
+IN_ORDER = 0.8
 #: Shingles in a block of a candidate group; a task compares two blocks at most.
 BLOCK_SHINGLES = 300_000
 BROADCAST_ROWS = 300_000
@@ -62,18 +65,19 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return len(tails)
 
 
-def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Whether aligned shingles over all shingles of both reach the threshold. The band holds every alignment that does."""
+def similar(a: np.ndarray, b: np.ndarray, common: int, threshold: float) -> bool:
+    """Whether two rows of distinct shingles with so many in common are near copies: `threshold` of all shingles are
+    common, and IN_ORDER of these align. The band holds every alignment that long."""
     total = len(a) + len(b)
-    need = threshold * total / (1 + threshold)
-    return aligned(a, b, int(total - 2 * need)) >= need - 1e-9
+    need = IN_ORDER * common
+    return common * (1 + threshold) >= threshold * total - 1e-9 and aligned(a, b, int(total - 2 * need) + 1) >= need - 1e-9
 
 
 def link_group(ids: list[int], shingles: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Edges that connect what the links of the group connect, at most one for each document.
 
-    Searches breadth first: each document is compared with those that nothing has reached yet. Shared
-    shingles bound the similarity from above, so only pairs that may reach the threshold are aligned.
+    Searches breadth first: each document is compared with those that nothing has reached yet. Common
+    shingles are counted for all of these, and pairs that have enough of them are aligned.
     """
     sizes = np.array([len(s) for s in shingles])
     _, inverse, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
@@ -97,8 +101,8 @@ def link_group(ids: list[int], shingles: list[np.ndarray], threshold: float) ->
             mark[codes_of[q]] = 1
             common = np.add.reduceat(mark[flat], starts)
             mark[codes_of[q]] = 0
-            may = packed[common * (1 + threshold) >= threshold * (sizes[q] + sizes[packed]) - 1e-9]
-            found = [u for u in np.intersect1d(may, left, assume_unique=True).tolist() if similar(shingles[q], shingles[u], threshold)]
+            may = (common * (1 + threshold) >= threshold * (sizes[q] + sizes[packed]) - 1e-9) & np.isin(packed, left)
+            found = [u for u, n in zip(packed[may].tolist(), common[may].tolist(), strict=True) if similar(shingles[q], shingles[u], n, threshold)]
             edges += [(ids[q], ids[u]) for u in found]
             queue += found
             left = left[~np.isin(left, found)]
@@ -112,11 +116,11 @@ def _scan(size: int):
             for text in batch.column(1).to_pylist():
                 words = WORD.findall(text.lower())
                 whole = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                shingles = labelled_shingles(text, size)
+                shingles, new = labelled_shingles(text, size)
                 first.append((whole >> 64) - 2**63)
                 second.append((whole & (2**64 - 1)) - 2**63)
                 counts.append(len(shingles))
-                keys.append(order_sketch(shingles))
+                keys.append(order_sketch(shingles) if new.all() else np.union1d(order_sketch(shingles), order_sketch(shingles[new])))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(counts, pa.int64()), lists], ["doc_id", "s1", "s2", "n", "keys"])
@@ -139,10 +143,10 @@ def _verify(size: int, threshold: float):
                     if len(ids) > 1:
                         yield flush(ids, held)
                     group, ids, held = (g, i, j), [], []
-                shingles = labelled_shingles(text, size)
+                shingles, new = labelled_shingles(text, size)
                 if len(shingles):
                     ids.append(doc)
-                    held.append(shingles)
+                    held.append(shingles[new])
         yield flush(ids, held)
 
     return run
@@ -151,9 +155,10 @@ def _verify(size: int, threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, kept), a row for each row given: classes are what links of near copies connect.
 
-    Two texts are linked if their word shingles, aligned in text order, are `threshold` of all shingles of
-    both (a Jaccard similarity that counts repeats and order). Candidates share an order sketch. Texts of
-    the same words are one from the start. A sketch's documents are joined in a star, never in pairs; the
+    Two texts are linked if their sets of word shingles have a Jaccard similarity of `threshold`, and their
+    alignment shows that the common ones stand in the same order but for a fifth. Candidates share an order
+    sketch, of all occurrence-labelled shingles or of the first occurrences alone.
+    Texts of the same words are one from the start. A sketch's documents are joined in a star, never in pairs; the
     connected candidate groups are cut into blocks that fit a task, each two blocks of a group meet in one
     task, and no pair in a group is left unexamined. The smallest doc_id of a class is its id and stays.
 

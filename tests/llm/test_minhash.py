@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -26,9 +27,10 @@ def lcs(a, b):
 def test_alignment_is_the_longest_common_subsequence(a, b, na, nb):
     a, b = np.array(a[:na], dtype=np.uint64), np.array(b[:nb], dtype=np.uint64)
     assert aligned(a, b, 100) == lcs(a.tolist(), b.tolist())
+    common = len(set(a.tolist()) & set(b.tolist()))
     if na + nb:
-        best = lcs(a.tolist(), b.tolist())
-        assert similar(a, b, 0.8) == (best / (na + nb - best) >= 0.8)
+        wanted = common / (na + nb - common) >= 0.8 and lcs(a.tolist(), b.tolist()) >= 0.8 * common
+        assert similar(a, b, common, 0.8) == wanted
 
 
 def components(nodes, edges):
@@ -59,15 +61,22 @@ def texts(seed):
     return out
 
 
+def distinct(text):
+    shingles, new = labelled_shingles(text)
+    return shingles[new]
+
+
 def brute(rows):
-    docs = {d: labelled_shingles(t) for d, t in rows}
+    docs = {d: distinct(t).tolist() for d, t in rows}
+    sets = {d: set(s) for d, s in docs.items()}
+    same = {d: re.findall(r"\w+", (t or "").lower()) for d, t in rows}
     edges = []
     for a in docs:
         for b in docs:
             if a < b:
-                x, y = docs[a].tolist(), docs[b].tolist()
-                best = lcs(x, y) if len(set(x) & set(y)) > 0.8 * min(len(x), len(y)) else 0
-                if x == y or best >= 0.8 * (len(x) + len(y) - best):
+                common = len(sets[a] & sets[b])
+                near = common and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) and lcs(docs[a], docs[b]) >= 0.8 * common
+                if near or same[a] == same[b]:
                     edges.append((a, b))
     return components(docs, edges)
 
@@ -75,7 +84,7 @@ def brute(rows):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)  # many blocks to a group
     rows = list(enumerate(texts(3)))
-    rows += [(900, rows[0][1]), (901, ""), (902, None), (903, "two words"), (904, "two  WORDS!"), (905, "x " * 20_000), (906, "x " * 19_999)]
+    rows += [(900, rows[0][1]), (901, ""), (902, None), (903, "two words"), (904, "two  WORDS!"), (905, "x " * 20_000), (906, "x " * 19_999), (907, rows[3][1] + (" " + rows[3][1][:40]) * 9), (908, " ".join(reversed(rows[4][1].split())))]
     again = (900, rows[0][1], "z")
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame([(d, t, "z") for d, t in rows] + [(None, "two words", "z"), again], "doc_id long, text string, keys string")
@@ -90,7 +99,7 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_groups_are_linked_as_brute_force_links_them():
     rows = list(enumerate(texts(7)))
-    docs = [labelled_shingles(t) for _, t in rows]
+    docs = [distinct(t) for _, t in rows]
     assert components(range(len(rows)), link_group([d for d, _ in rows], docs, 0.8)) == brute(rows)
 
 
