@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.lineage import settle
 from folioscope.operators import context, extraction, ingest, names, passages, providers, reading, registry, relevance, scorecard, vocatives
 from folioscope.schemas import BOOKS, CHECKPOINTS
 from folioscope.sources import epub, pages
@@ -35,8 +36,9 @@ class Engine:
     def ingest(self, rows: DataFrame, title: str, author: str | None = None, series: str | None = None, position: int | None = None, content_type: str = "fiction", auto_link: bool = True, toc: DataFrame | None = None, source_format: str = "", source_filename: str = "") -> tuple[str, list[str]]:
         """Stores a book's chapters (index, title, text, pages, source): fragments consolidated, volumes found, names linked."""
         index = self.library.read("index")
-        taken = {r.book_id for r in index.select("book_id").union(self.library.read("books").select("book_id")).collect()}
         slug = self.spark.range(1).select(T.slugify(F.lit(title))).first()[0]
+        ids = index.select("book_id").union(self.library.read("books").select("book_id"))
+        taken = {r.book_id for r in ids.where(F.startswith("book_id", F.lit(slug))).collect()}
         book_id = unique_book_id(slug, taken)
         rows = rows.withColumn("book_id", F.lit(book_id))
         chapters = rows.select("book_id", "index", "title", "text", "pages")
@@ -111,23 +113,23 @@ class Engine:
             entities = registry.prune_book(entities, book_id)
         for group in lib.read("declared").where(F.col("book_id") == book_id).orderBy("gseq").collect():
             entities = registry.seed_alias_group(entities, book_id, group.names, group.epithets)
-        entities = registry._settle(entities)
+        entities = settle(entities)
         order = reading.reading_order(lib.read("index")).where(F.col("book_id") == book_id)
         if order.isEmpty():
             order = self.spark.createDataFrame([(book_id, book_id, 1)], "book_id string, read_id string, book_rank int")
         known = extraction.known_names(entities, order)
         todo = ingest.narrative(chapters.where(F.col("index") >= point.start))
         found, runs = providers.extract(todo.where("not skipped"), provider, book.content_type, known)
-        found, runs = registry._settle(found), registry._settle(runs)
+        found, runs = settle(found), settle(runs)
         marked = extraction.drop_repeats(found)
         grounded = extraction.ground(marked.where("not repeated"), chapters, known).where("accepted")
         scope = order.groupBy("book_id").agg(F.array_sort(F.collect_list("read_id")).alias("scope")).withColumn("scope_id", F.lit(book_id))
-        resolved = registry._settle(extraction.resolve(grounded, entities, scope))
+        resolved = settle(extraction.resolve(grounded, entities, scope))
         facts = resolved.select("book_id", (F.col("chapter_index").cast("long") * 100_000 + F.col("seq")).alias("seq"), "entity_id", "entity_name", "chapter_index", "category", "statement", "when", "time_phrase")
         kept = lib.read("facts").where((F.col("book_id") == book_id) & (F.col("chapter_index") < point.start))
         lib.replace_books("facts", kept.unionByName(facts), [book_id])
         before = entities.count()
-        registry_now = registry._settle(extraction.registry_after(resolved, entities))
+        registry_now = settle(extraction.registry_after(resolved, entities))
         lib.write("entities", registry_now)
         lib.replace_books("checkpoints", self.spark.createDataFrame([(book_id, total, total, identity)], CHECKPOINTS), [book_id])
         n_found = found.count()
@@ -164,7 +166,7 @@ class Engine:
         for label, provider in extractors.items():
             known = self.spark.createDataFrame([], "book_id string, entity_name string, entity_type string")
             for index in sorted(indexes):
-                f, r = (registry._settle(x.withColumn("provider", F.lit(label))) for x in providers.extract(chapters.where(F.col("index") == index), provider, content_type, known))
+                f, r = (settle(x.withColumn("provider", F.lit(label))) for x in providers.extract(chapters.where(F.col("index") == index), provider, content_type, known))
                 known = known.union(f.select("book_id", "entity_name", "entity_type")).dropDuplicates(["entity_name"])
                 facts, runs = (f, r) if facts is None else (facts.unionByName(f), runs.unionByName(r))
         card = scorecard.scorecard(runs.withColumnRenamed("ok", "parse_ok"), facts, chapters)
@@ -205,7 +207,7 @@ class Engine:
         self._change(registry.split_cross_book(self.library.read("entities"), self.library.read("facts"), entity_id), ("entities", "facts"))
 
     def _change(self, tables, names_) -> None:
-        for name, rows in zip(names_, [registry._settle(t) for t in tables], strict=True):
+        for name, rows in zip(names_, [settle(t) for t in tables], strict=True):
             self.library.write(name, rows)
 
     def doctor(self, fix: bool = False) -> dict[str, list]:

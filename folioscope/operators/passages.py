@@ -56,24 +56,29 @@ def passages(statements: DataFrame, chapters: DataFrame) -> DataFrame:
     used = statements.select(*key).distinct()
     names = chapters.join(used.select("book_id", F.col("chapter_index").alias("index")), ["book_id", "index"], "left_semi")
     learnt = learnt_names(names)
-    rows = sentences(names).join(learnt, key, "left").withColumn("words", T.passage_words("sentence", F.col("learnt")))
-    following = Window.partitionBy(*key).orderBy("i")
-    rows = rows.withColumn("next_words", F.lead("words").over(following)).withColumn("next_end", F.lead("end").over(following))
-    idf = rows.select(*key, F.explode("words").alias("word")).groupBy(*key, "word").agg((1 / F.count("*")).alias("idf"))
+    spans = sentences(names)
+    words = spans.join(learnt, key, "left").select(*key, "i", F.explode(T.passage_words("sentence", F.col("learnt"))).alias("word"))
+    idf = words.groupBy(*key, "word").agg((1 / F.count("*")).alias("idf"))
     wanted = statements.join(learnt, key, "left").select("statement_id", *key, F.explode(T.passage_words("statement", F.col("learnt"))).alias("word"))
     wanted = wanted.join(idf, [*key, "word"], "left").withColumn("weight", F.coalesce("idf", F.lit(UNSEEN_IDF)))
-    add = lambda c: F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda total, x: total + x["weight"])
-    total = wanted.groupBy("statement_id").agg(add(F.struct("word", "weight")).alias("total"))
-    single = rows.select(*key, "i", "start", "end", F.lit(0).alias("pair"), "words")
-    pair = rows.where("next_end is not null").select(*key, "i", "start", F.col("next_end").alias("end"), F.lit(1).alias("pair"), F.array_union("words", "next_words").alias("words"))
-    spans = single.union(pair).select(*key, "i", "start", "end", "pair", F.explode("words").alias("word"))
-    shared = wanted.join(spans, [*key, "word"]).groupBy("statement_id", *key, "i", "pair", "start", "end").agg(add(F.struct("word", "weight")).alias("shared"))
+    add = lambda c: F.aggregate(F.array_sort(c), F.lit(0.0), lambda total, x: total + x["weight"])
+    weighed = F.struct("word", "weight")
+    total = wanted.groupBy("statement_id").agg(add(F.collect_list(weighed)).alias("total"))
+    # a word in sentence i counts for i alone, for i and the next, and for the one before and i
+    places = F.array(F.struct(F.col("i"), F.lit(0).alias("pair")), F.struct(F.col("i"), F.lit(1).alias("pair")), F.struct((F.col("i") - 1).alias("i"), F.lit(1).alias("pair")))
+    met = wanted.join(words, [*key, "word"]).select("statement_id", *key, "word", "weight", F.explode(places).alias("at"))
+    shared = met.groupBy("statement_id", *key, "at.i", "at.pair").agg(add(F.collect_set(weighed)).alias("shared"))
+    last = spans.groupBy(*key).agg(F.max("i").alias("last"))
+    shared = shared.join(last, key).where((F.col("pair") == 0) | ((F.col("i") >= 0) & (F.col("i") < F.col("last"))))
     scored = shared.join(total, "statement_id").withColumn("score", F.col("shared") / F.col("total") * F.when(F.col("pair") == 1, PAIR_PENALTY).otherwise(1.0))
-    best = F.max_by(F.struct("start", "end", "score"), F.struct(F.round("score", 12), -F.col("i"), -F.col("pair")))
+    best = F.max_by(F.struct("i", "pair", "score"), F.struct(F.round("score", 12), -F.col("i"), -F.col("pair")))
     found = scored.groupBy("statement_id", *key).agg(best.alias("b")).where(F.col("b.score") >= MIN_PASSAGE_SCORE)
+    ends = spans.select(*key, F.col("i").alias("i"), "start", "end")
+    found = found.select("statement_id", *key, F.col("b.i").alias("i"), (F.col("b.i") + F.col("b.pair")).alias("to"), F.col("b.score").alias("score"))
+    found = found.join(ends.select(*key, "i", "start"), [*key, "i"]).join(ends.select(*key, F.col("i").alias("to"), "end"), [*key, "to"])
     found = found.join(chapters.select("book_id", F.col("index").alias("chapter_index"), "text"), key)
-    quote = T.trimmed_quote(F.substr("text", F.col("b.start") + 1, F.col("b.end") - F.col("b.start")), MAX_QUOTE)
-    return found.select("statement_id", *key, quote.alias("quote"), F.col("b.start").cast("int").alias("start"), F.col("b.end").cast("int").alias("end"), F.col("b.score").alias("score"))
+    quote = T.trimmed_quote(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")), MAX_QUOTE)
+    return found.select("statement_id", *key, quote.alias("quote"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score")
 
 
 def position_in_chapter(start: Column, text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.lineage import settle
 from folioscope.operators.extraction import minted_id
 from folioscope.operators.names import capitalised_runs, lowercase_words, residues
 from folioscope.schemas import CONJUNCTIONS, NAMING_PHRASES, TITLES
@@ -186,26 +187,16 @@ def components(edges: DataFrame, scope: list[str] = (), rounds: int = 100) -> Da
         step = labels.join(near, [*scope, "node"]).select(*scope, "node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("fell"))
         hop = step.select(*scope, F.col("node").alias("component"), F.col("component").alias("hop"))
         step = step.join(hop, [*scope, "component"], "left").select(*scope, "node", F.least("component", F.coalesce("hop", F.col("component"))).alias("component"), "fell")
-        step = _settle(step)
+        step = settle(step)
         if step.where("fell").isEmpty():
             return step.drop("fell")
         labels = step.drop("fell")
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut, in the session's checkpoint folder if it has one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and not df.sparkSession.conf.get("spark.checkpoint.dir", ""):
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
-    return df.checkpoint()
-
-
 def name_variant_clusters(entities: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book_id, members, reasons): entities of a book that are one person, by any of the four rules; each set once."""
-    pairs = _settle(variant_pairs(entities, chapters))
+    pairs = settle(variant_pairs(entities, chapters))
     found = components(pairs, ["book_id"])
     rules = pairs.join(found.select("book_id", F.col("node").alias("a"), "component"), ["book_id", "a"]).groupBy("book_id", "component").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
     sets = found.groupBy("book_id", "component").agg(F.array_sort(F.collect_list("node")).alias("members")).join(rules, ["book_id", "component"])
