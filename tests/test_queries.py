@@ -20,7 +20,7 @@ def plain(value):
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return list(frame.columns), sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False)) if not frame.empty else []
+    return list(frame.columns), sorted((tuple(map(str, map(plain, r))) for r in frame.itertuples(index=False))) if not frame.empty else []
 
 
 @pytest.fixture(scope="module")
