@@ -157,3 +157,17 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, threshold: float = 0
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return benchmark_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
+ds AS (SELECT doc_id, len(ws) - 4 AS dn, p, array_to_string(ws[p : p + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS p FROM d WHERE len(ws) >= 5)),
+bs AS (SELECT item_id, bn, sh, count(*) AS c FROM (SELECT item_id, len(ws) - 4 AS bn, array_to_string(ws[p : p + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS p FROM b WHERE len(ws) >= 5)) GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, bn, least(bn, dn) AS width, dn, p, sh, c FROM ds JOIN bs USING (sh)),
+starts AS (SELECT *, unnest(range(greatest(1, p - width + 1), least(p, dn - width + 1) + 1)) AS spot FROM hits),
+counts AS (SELECT doc_id, item_id, bn, width, spot, least(count(*), any_value(c)) AS n_common FROM starts GROUP BY doc_id, item_id, bn, width, spot, sh),
+scored AS (SELECT doc_id, item_id, width, spot, sum(n_common)::DOUBLE / (bn + width - sum(n_common)) AS similarity FROM counts GROUP BY doc_id, item_id, bn, width, spot)
+SELECT doc_id, item_id, spot - 1 AS start, (width + 4)::BIGINT AS n_words, similarity FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, spot) = 1
+"""

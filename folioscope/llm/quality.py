@@ -81,12 +81,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 4
     n = len(rows)
     # at first the thresholds give each grade its share
     above = np.array([(grades > k).sum() for k in range(levels - 1)])
-    share = np.maximum.accumulate((above[::-1] + 0.5) / (n + 1.0) + np.arange(levels - 1) * 1e-3)[::-1]
-    thresholds = np.log((1 - share) / share) if n else np.arange(levels - 1.0)
+    share = (above + 0.5) / (n + 1.0)
+    thresholds = np.log((1 - share) / share) + np.arange(levels - 1) * 1e-3
     if not n:
         return OrdinalModel(weights, thresholds)
     flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     times = np.bincount(flat, minlength=BUCKETS)
     share = times / n
     z = np.zeros((levels - 1, BUCKETS))
@@ -100,6 +100,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, rounds: int = 4
     place[chosen] = np.arange(len(chosen))
     use = place[flat] >= 0
     column, owner = place[flat[use]], owner[use]
+    del flat, use, place, z
     # thresholds stay in order as a first one and logarithms of the steps to the next
     at = np.concatenate((np.zeros(len(chosen)), thresholds[:1], np.log(np.diff(thresholds))))
     first, second = np.zeros_like(at), np.zeros_like(at)
@@ -147,10 +148,10 @@ def fit_table(docs: DataFrame, ratings: DataFrame, levels: int, fit_rows: int =
     flat, offsets = found.column("buckets").combine_chunks(), None
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     offsets = flat.offsets.to_numpy()
-    values = flat.values.to_numpy().astype(np.int64)
+    values = flat.values.to_numpy()
     grades = found.column("grade").to_numpy()
     rows = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    order = sorted(range(len(rows)), key=lambda k: (grades[k], rows[k].tobytes()))  # sums don't depend on the rows' order
+    order = sorted(range(len(rows)), key=lambda k: (grades[k], xxhash.xxh3_64_intdigest(rows[k].tobytes())))  # sums don't depend on the rows' order
     return fit([rows[k] for k in order], grades[order] if len(rows) else grades, levels)
 
 

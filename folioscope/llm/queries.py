@@ -17,6 +17,8 @@ QUERIES = {
     "op10_raked_mixture": mixing.op10,
 }
 ORACLE_SQL = {
+    "op3_simhash_decontamination": decontaminate.OP3_SQL,
+    "op6_suffix_tree_repeats": substrings.OP6_SQL,
     "op7_host_reputation": urls.OP7_SQL,
     "op8_progressive_exact_dedup": exact.OP8_SQL,
 }

@@ -34,6 +34,13 @@ def test_held_out_grades_and_order_of_thresholds():
     assert kept[grades == 2].mean() > 0.99 and kept[grades == 1].mean() < 0.05 and kept[grades == 0].mean() < 0.01
 
 
+def test_ratings_of_one_grade_alone():
+    for only in (0, 1, 2):
+        model = fit([features("some words here")] * 30, np.full(30, only), 3)
+        assert np.isfinite(model.thresholds).all() and model.thresholds[0] < model.thresholds[1]
+        assert (np.round(model.tails(np.array([model.score("some words here")])))[0] == [only > 0, only > 1]).all()
+
+
 def test_gradient_reaches_the_likelihood_of_a_plain_search():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, 400)
