@@ -608,15 +608,15 @@ def provider_runs(spark, sf):
     return scorecard.runs_to_make(D.chapters(spark, sf), ["x", "y"], [0, 2])
 
 
-@query("parsed_responses", r"""SELECT doc_id AS response_id, doc_id % 4 <> 3 AS ok, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 2 OR length(source || ' ' || n_chars) > 500 THEN 0 ELSE 1 END AS facts FROM documents""")
+@query("parsed_responses", r"""SELECT doc_id AS response_id, doc_id % 4 <> 3 AS ok, CASE WHEN doc_id % 4 = 3 THEN -1 WHEN doc_id % 4 = 2 OR length(source || ' ' || n_chars) > 500 THEN 0 ELSE 1 END AS facts FROM documents""")
 def parsed_responses(spark, sf):
-    """Responses made of documents: a list, a wrapped list, an empty object, and no JSON."""
+    """Responses made of documents: a list, a wrapped list, an empty object, and no JSON (-1 facts)."""
     docs = D.table(spark, sf, "documents")
     fact = F.to_json(F.struct(F.col("source").alias("entity_name"), F.lit("Monster").alias("entity_type"), F.lit("status").alias("category"), F.concat_ws(" ", "source", "n_chars").alias("statement"), F.lit("Earlier").alias("when")))
     kind = F.col("doc_id") % 4
     raw = F.when(kind == 0, F.concat(F.lit("```json\n["), fact, F.lit("]\n```"))).when(kind == 1, F.concat(F.lit('{"facts": ['), fact, F.lit("]}"))).when(kind == 2, "{}").otherwise(F.concat(F.lit("["), fact))
     rows = extraction.parse_responses(docs.select(F.col("doc_id").alias("response_id"), raw.alias("raw")))
-    return rows.select("response_id", "ok", F.when(F.col("ok"), F.size("facts")).alias("facts"))
+    return rows.select("response_id", "ok", F.when(F.col("ok"), F.size("facts")).otherwise(-1).alias("facts"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

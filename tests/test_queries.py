@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from folioscope.plans.queries import QUERIES, SQL
@@ -11,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if isinstance(value, float):
         return f"{value:.9g}"
