@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -139,3 +140,22 @@ def test_both_rakings_agree(spark):
     a, b = ({(r.source, r.lang, r.topic): r.chance for r in f(cells, mixing.PRODUCTION).collect()} for f in (mixing._driver_cells, mixing._table_cells))
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 0.02
     assert urls.OP7_SQL
+
+
+@pytest.mark.parametrize("cells", [200_000, 0])  # 0: raked as a table
+@pytest.mark.parametrize("listed", [("en", "de", "fr", "es"), ("en", "de", "fr")])
+def test_unlisted_and_null_languages_keep_their_part(spark, monkeypatch, cells, listed):
+    """Under the targets of production, whether or not all the listed languages occur."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    langs = [*listed, None, "it"]
+    rows = [(k, "some words to be weighed here", "ab"[k // len(langs) % 2], langs[k % len(langs)]) for k in range(200 * len(langs))]
+    targets = replace(mixing.PRODUCTION, budget=0.3)  # low enough that no cell is kept whole
+    found = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), targets).collect()
+    assert all(0.1 < r.chance < 1 for r in found) and {r.lang for r in found if r.kept} == {*listed, "", "it"}
+    expected = Counter()
+    for r in found:
+        expected[r.lang] += r.chance * r.tokens
+    for lang in ("", "it"):
+        assert math.isclose(expected[lang], sum(expected.values()) / len(langs), rel_tol=1e-3)
+    shares = target_shares({"en": 50, "de": 20, "": 20, "it": 10}, mixing.PRODUCTION.shares["lang"], 1.0)
+    assert math.isclose(shares[""], 0.2) and math.isclose(shares["it"], 0.1) and math.isclose(shares["en"] / shares["de"], 0.55 / 0.17) and math.isclose(sum(shares.values()), 1)
