@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import warnings
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
@@ -159,3 +160,28 @@ def test_unlisted_and_null_languages_keep_their_part(spark, monkeypatch, cells,
         assert math.isclose(expected[lang], sum(expected.values()) / len(langs), rel_tol=1e-3)
     shares = target_shares({"en": 50, "de": 20, "": 20, "it": 10}, mixing.PRODUCTION.shares["lang"], 1.0)
     assert math.isclose(shares[""], 0.2) and math.isclose(shares["it"], 0.1) and math.isclose(shares["en"] / shares["de"], 0.55 / 0.17) and math.isclose(sum(shares.values()), 1)
+
+
+def sparse_cells(sources, rest):
+    """Sources that are each mostly in one language, as hosts are; `rest` bounds a cell of another language."""
+    rng, cells = np.random.default_rng(7), []
+    for s in range(sources):
+        main = rng.choice(4, p=[0.5, 0.2, 0.2, 0.1])
+        for lang in {int(main), int(rng.integers(4))}:
+            for topic in rng.choice(6, 2, replace=False):
+                cells.append((f"s{s}", ("en", "de", "fr", "es")[lang], f"t{topic}", int(rng.integers(200, 3000) if lang == main else rng.integers(*rest))))
+    return cells
+
+
+@pytest.mark.parametrize(("rest", "met"), [((300, 1500), True), ((1, 20), False)])
+def test_both_rakings_agree_on_sparse_cells(spark, rest, met):
+    cells = spark.createDataFrame(sparse_cells(2000, rest), "source string, lang string, topic string, tokens long")
+    chances, told = [], []
+    for f in (mixing._driver_cells, mixing._table_cells):
+        with warnings.catch_warnings(record=True) as caught:
+            warnings.simplefilter("always")
+            chances.append({(r.source, r.lang, r.topic): r.chance for r in f(cells, mixing.PRODUCTION).collect()})
+        told.append(any("off its target" in str(w.message) for w in caught))
+    a, b = chances
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
+    assert told == [not met] * 2
