@@ -185,3 +185,18 @@ def test_both_rakings_agree_on_sparse_cells(spark, rest, met):
     a, b = chances
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
     assert told == [not met] * 2
+
+
+def test_topic_is_of_the_whole_text(spark):
+    rng, letters = random.Random(11), "abcdefghijklmnoprstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=rng.randint(2, 9)))
+    bodies = [" ".join(word() for _ in range(300)) for _ in range(200)]
+    rows = [(k, f"{first}{b}") for k, b in enumerate(bodies) for first in ("", "Same ")]
+    found = defaultdict(list)
+    for r in spark.createDataFrame(rows, "k int, text string").select("k", mixing.topic().alias("topic")).collect():
+        found[r.k].append(r.topic)
+    assert sum(a != b for a, b in found.values()) < 0.1 * len(bodies)  # one word in front
+    assert len({b for _, b in found.values()}) == mixing.TOPICS  # the same first word
+    texts = [None, "", "12 .", "x", "\u00c9t\u00e9 b", "\u00e9t\u00e9 B b"]
+    topics = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(mixing.topic()).collect()]
+    assert topics[:3] == ["none"] * 3 and topics[3] != "none" and topics[4] == topics[5]
