@@ -1,15 +1,13 @@
-"""Substring dedup over prefix-partitioned suffix trees of words.
+"""Substring dedup over windows of words, grouped by minimizer.
 
 A repeat is a run of `window` equal words at two places. Three steps find all of them:
 
 1. Of each window the run of GRAM words with the least hash is its anchor. Equal windows have equal anchors,
-   so only windows whose anchor occurs twice in the corpus can repeat; the suffixes of all other windows are
-   leaves right below the root and are never moved. Consecutive windows of one anchor travel as one segment.
-2. The suffixes at the remaining windows are dealt out by the anchor, their prefix of GRAM words. Of a group
-   too large for a task's memory, equal segments are first reduced to the earliest; the suffixes of the rest
-   are split by longer prefixes, of `window` words, below which nothing matters any more.
-3. Each group's subtree is built as its sorted suffixes with their common prefix lengths. An internal node
-   as deep as `window` words holds the places of one repeat; all but its first place go.
+   so only windows whose anchor occurs twice in the corpus can repeat; all other windows are never moved.
+   Consecutive windows of one anchor travel as one segment.
+2. The remaining windows are dealt out by the anchor, a minimizer. Of a group too large for a task's memory,
+   equal segments are first reduced to the earliest; the windows of the rest are grouped by their MD5.
+3. Each other group's windows are sorted, and equal neighbours are one repeat; all but its first place go.
 """
 
 from __future__ import annotations
@@ -98,8 +96,8 @@ def _segments(window: int):
 def deep_nodes(groups: list[tuple[int, int, int, int, list[str]]], window: int) -> np.ndarray:
     """Runs (doc, th, start, windows) of repeated windows but their first; groups: (key, doc, th, start, words), whole groups.
 
-    Words become numbers, each suffix a row of `window` of them; the sorted rows and the lengths of their
-    common prefixes are the tree, rows that share `window` words a deep node.
+    Words become numbers, each suffix a row of its first `window` of them; rows are sorted, and equal neighbours
+    are a repeat. No common prefix lengths are computed.
     """
     number: dict[str, int] = {}
     flat = np.fromiter((number.setdefault(w, len(number)) for g in groups for w in g[4]), dtype=np.uint32)
