@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder: spark.checkpoint.dir or one that was set, else a temporary one in local mode.
+
+    A cluster must name one that all its machines share.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None or spark.conf.get("spark.checkpoint.dir", ""):
+        return
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut, in the session's checkpoint folder; in a temporary one where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and not df.sparkSession.conf.get("spark.checkpoint.dir", ""):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
+    """The table with its lineage cut, in the session's checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
