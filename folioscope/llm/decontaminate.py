@@ -39,22 +39,32 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class ItemIndex:
-    """Items by fingerprint block; and all their shingles, for the windows worth a fingerprint."""
+    """Items by fingerprint block; and all their shingles, for the windows worth a fingerprint.
+
+    An item of fewer than SHINGLE words is one shingle of all its words, so `shingle_of` is a group of items by the
+    words of a shingle: SHINGLE for most.
+    """
 
     def __init__(self, items: list[tuple[int, str]], threshold: float):
         self.threshold = threshold
-        kept = [(i, s) for i, t in items if len(s := ngram_hashes(w, SHINGLE) if len(w := word_hashes(WORD.findall(t.lower()))) >= SHINGLE else w[:0])]
+        kept = [(i, w) for i, t in items if len(w := word_hashes(WORD.findall(t.lower())))]
         self.ids = [i for i, _ in kept]
-        self.shingles = [s for _, s in kept]
+        self.spans = np.array([min(SHINGLE, len(w)) for _, w in kept], dtype=np.int64)
+        self.shingles = [ngram_hashes(w, SHINGLE) for _, w in kept]
         self.sizes = np.array([len(s) for s in self.shingles], dtype=np.int64)
-        self.all = np.unique(np.concatenate(self.shingles)) if kept else np.zeros(0, dtype=np.uint64)
-        self.of_size = {int(n): np.unique(np.concatenate([s for s in self.shingles if len(s) == n])) for n in np.unique(self.sizes)}
-        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.filter[self.all >> np.uint64(64 - _FILTER_BITS)] = True
+        self.groups = {int(s): self._group(s) for s in np.unique(self.spans)}
         self.prints = np.concatenate([fingerprints(s[None]) for s in self.shingles]) if kept else np.zeros((0, BLOCKS), dtype=np.int64)
         self.order = np.argsort(self.prints, axis=0, kind="stable")
         self.offsets = np.stack([np.searchsorted(np.sort(self.prints[:, k]), np.arange((1 << BITS // BLOCKS) + 1)) for k in range(BLOCKS)])
 
+    def _group(self, span: int):
+        """Of the items with shingles of `span` words: all shingles, a filter of their first bits, the shingles by item size."""
+        mine = [s for s, n in zip(self.shingles, self.spans, strict=True) if n == span]
+        all_ = np.unique(np.concatenate(mine))
+        filter_ = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        filter_[all_ >> np.uint64(64 - _FILTER_BITS)] = True
+        return all_, filter_, {n: np.unique(np.concatenate([s for s in mine if len(s) == n])) for n in sorted({len(s) for s in mine})}
+
     def within(self, print_: np.ndarray) -> np.ndarray:
         """Items whose fingerprint differs in RADIUS bits at most."""
         found = []
@@ -71,13 +81,17 @@ class ItemIndex:
     def search(self, text: str) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of each item's best window, the first of equals."""
         words = word_hashes(WORD.findall(text.lower()))
-        if len(words) < SHINGLE or not len(self.ids):
-            return []
-        shingles = ngram_hashes(words, SHINGLE)
-        at = np.flatnonzero(self.filter[shingles >> np.uint64(64 - _FILTER_BITS)])
-        at = at[member(shingles[at], self.all)]
         best: dict[int, tuple[float, int, int]] = {}
-        for size, own in self.of_size.items():
+        for span, group in self.groups.items():
+            if len(words) >= span:
+                self._search(ngram_hashes(words, span), span, group, best)
+        return [(self.ids[k], start, n, value) for k, (value, start, n) in sorted(best.items())]
+
+    def _search(self, shingles: np.ndarray, span: int, group, best: dict[int, tuple[float, int, int]]) -> None:
+        all_, filter_, of_size = group
+        at = np.flatnonzero(filter_[shingles >> np.uint64(64 - _FILTER_BITS)])
+        at = at[member(shingles[at], all_)]
+        for size, own in of_size.items():
             width = min(size, len(shingles))
             least = self.threshold * (size + width) / (1 + self.threshold) - 1e-9  # shingles that a similar window shares
             if len(at) < least:
@@ -90,11 +104,10 @@ class ItemIndex:
                 windows = shingles[part[:, None] + np.arange(width)]
                 for start, window, print_ in zip(part.tolist(), windows, fingerprints(windows), strict=True):
                     for k in self.within(print_):
-                        if self.sizes[k] == size:
+                        if self.sizes[k] == size and self.spans[k] == span:
                             value = weighted_similarity(window, self.shingles[k])
                             if value >= self.threshold - 1e-9 and (k not in best or value > best[k][0]):
-                                best[k] = (value, start, width + SHINGLE - 1)
-        return [(self.ids[k], start, n, value) for k, (value, start, n) in sorted(best.items())]
+                                best[k] = (value, start, width + span - 1)
 
 
 def _searcher(index):
@@ -112,13 +125,14 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     Words are runs of word characters, lower-cased; a window has as many words as the item, or is the whole
     of a shorter document. A window is found if it and the item have a weighted Jaccard similarity of
-    `threshold` on five-word shingles. Windows that share too few shingles with all items of their size
+    `threshold` on five-word shingles; an item of fewer words is a single shingle of all of them. Windows that share too few shingles with all items of their size
     together to be similar to one get no fingerprint; for the others the multi-index search returns every item within
     RADIUS, and the similarity decides. Documents are read in place and never shuffled; the benchmark goes to
-    the executors in chunks of CHUNK_BYTES, one pass for each.
+    the executors in chunks of CHUNK_BYTES, one pass for each; the driver builds the index of one chunk at a time.
 
-    Items and documents of fewer than five words, and empty or null texts, match nothing. Repeated items are
-    found each under their id; repeated rows and null doc_ids are searched as they come.
+    Items without words match nothing, nor do null or empty texts; a document with fewer words than an item's
+    shingle doesn't match the item. Repeated items are found each under their id; repeated rows and null
+    doc_ids are searched as they come.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body(text).alias("text"))
@@ -162,12 +176,13 @@ def op3(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
-ds AS (SELECT doc_id, len(ws) - 4 AS dn, p, array_to_string(ws[p : p + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS p FROM d WHERE len(ws) >= 5)),
-bs AS (SELECT item_id, bn, sh, count(*) AS c FROM (SELECT item_id, len(ws) - 4 AS bn, array_to_string(ws[p : p + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS p FROM b WHERE len(ws) >= 5)) GROUP BY ALL),
-hits AS (SELECT doc_id, item_id, bn, least(bn, dn) AS width, dn, p, sh, c FROM ds JOIN bs USING (sh)),
+spans AS (SELECT item_id, ws, least(5, len(ws)) AS z FROM b WHERE len(ws) >= 1),
+ds AS (SELECT doc_id, z, len(ws) - z + 1 AS dn, p, array_to_string(ws[p : p + z - 1], ' ') AS sh FROM (SELECT doc_id, ws, z, unnest(range(1, len(ws) - z + 2)) AS p FROM d JOIN (SELECT DISTINCT z FROM spans) ON len(ws) >= z)),
+bs AS (SELECT item_id, z, bn, sh, count(*) AS c FROM (SELECT item_id, z, len(ws) - z + 1 AS bn, array_to_string(ws[p : p + z - 1], ' ') AS sh FROM (SELECT *, unnest(range(1, len(ws) - z + 2)) AS p FROM spans)) GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, z, bn, least(bn, dn) AS width, dn, p, sh, c FROM ds JOIN bs USING (z, sh)),
 starts AS (SELECT *, unnest(range(greatest(1, p - width + 1), least(p, dn - width + 1) + 1)) AS spot FROM hits),
-counts AS (SELECT doc_id, item_id, bn, width, spot, least(count(*), any_value(c)) AS n_common FROM starts GROUP BY doc_id, item_id, bn, width, spot, sh),
-scored AS (SELECT doc_id, item_id, width, spot, sum(n_common)::DOUBLE / (bn + width - sum(n_common)) AS similarity FROM counts GROUP BY doc_id, item_id, bn, width, spot)
-SELECT doc_id, item_id, spot - 1 AS start, (width + 4)::BIGINT AS n_words, similarity FROM scored WHERE similarity >= 0.8
+counts AS (SELECT doc_id, item_id, z, bn, width, spot, least(count(*), any_value(c)) AS n_common FROM starts GROUP BY doc_id, item_id, z, bn, width, spot, sh),
+scored AS (SELECT doc_id, item_id, z, width, spot, sum(n_common)::DOUBLE / (bn + width - sum(n_common)) AS similarity FROM counts GROUP BY doc_id, item_id, z, bn, width, spot)
+SELECT doc_id, item_id, spot - 1 AS start, (width + z - 1)::BIGINT AS n_words, similarity FROM scored WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, spot) = 1
 """

@@ -13,18 +13,19 @@ def words_of(text):
     return re.findall(r"\w+", (text or "").lower())
 
 
-def shingles(words):
-    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+def shingles(words, size):
+    return Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
 
 
 def brute(text, item):
     """Best similarity of any item-sized window."""
     words, want = words_of(text), words_of(item)
-    if len(words) < 5 or len(want) < 5:
+    size = min(5, len(want))
+    if not want or len(words) < size:
         return 0.0
-    b, best = shingles(want), 0.0
+    b, best = shingles(want, size), 0.0
     for i in range(max(1, len(words) - len(want) + 1)):
-        a = shingles(words[i : i + len(want)])
+        a = shingles(words[i : i + len(want)], size)
         best = max(best, sum((a & b).values()) / sum((a | b).values()))
     return best
 
@@ -33,13 +34,13 @@ def made(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(60)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 70)))) for k in range(40)]
-    items += [(98, "same " * 30), (99, items[3][1])]
+    items += [(98, "same " * 30), (99, items[3][1]), (60, "w1 w2"), (61, "W3, w4 w5 w6"), (62, "zz"), (63, ""), (64, None), (65, "w7 w8 w9 w10 w11")]
     docs = []
     for k in range(120):
         text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 120))]
         if k % 2:
             passage = words_of(rng.choice(items)[1])
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, 3) if passage else 0):
                 passage[rng.randrange(len(passage))] = "zz"
             at = rng.randint(0, len(text))
             text[at:at] = passage
@@ -88,3 +89,17 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert benchmark_passages(docs, empty).collect() == [] and without_passages(docs, empty).count() == 1
     assert benchmark_passages(docs.limit(0), empty).collect() == []
+
+
+def test_sql_on_short_items(spark):
+    import duckdb
+    import pandas as pd
+
+    docs, items = made(9)
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    expected = {(r[0], r[1], r[2], r[3], round(r[4], 9)) for r in con.execute(decontaminate.OP3_SQL).fetchall()}
+    found = benchmark_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.n_words, round(r.similarity, 9)) for r in found} == expected and any(r[1] in (60, 61) for r in expected)
