@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import exact, mixing, shard, urls
+from folioscope.llm import common, exact, mixing, shard, urls
 from folioscope.llm.exact import exact_duplicates
 from folioscope.llm.mixing import Targets, mix, probabilities, rake, target_shares
 from folioscope.llm.shard import stratified_shards
@@ -22,10 +22,12 @@ LONG = "é" * 70_000
 ROWS = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (None, "a"), (6, "x" * 300 + "1"), (7, "x" * 300 + "2"), (8, "x" * 300 + "1"), (9, LONG), (10, LONG), (3, "a"), (11, "ab"), (12, "only")]
 
 
-@pytest.mark.parametrize("bound", [300_000, 0])  # 0: nothing is broadcast
+@pytest.mark.parametrize(("bound", "filter_rows", "hot"), [(300_000, 1 << 20, 20_000), (3, 1 << 20, 1), (2, 1, 20_000)])  # few: groups are joined by a shuffle, every length passes the filter
 @pytest.mark.parametrize("digest", [True, False])
-def test_exact_duplicates(spark, monkeypatch, bound, digest):
+def test_exact_duplicates(spark, monkeypatch, bound, filter_rows, hot, digest):
     monkeypatch.setattr(exact, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(exact, "FILTER_ROWS", filter_rows)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     docs = spark.createDataFrame([(i, t, 1) for i, t in ROWS], "doc_id long, text string, len int")
     found = exact_duplicates(docs, digest=digest)
     groups = defaultdict(list)
@@ -35,7 +37,7 @@ def test_exact_duplicates(spark, monkeypatch, bound, digest):
     wanted = Counter((i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""]) for i, t in ROWS)
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect()) == wanted
     shas = {r.doc_id: r.text_sha256 for r in found.collect()}
-    assert shas[9] == hashlib.sha256(LONG.encode()).hexdigest() and (shas[12] is not None) == digest
+    assert shas[9] == hashlib.sha256(LONG.encode()).hexdigest() and (filter_rows == 1 or (shas[11] is not None) == digest)
     assert exact_duplicates(docs.limit(0)).collect() == []
 
 
@@ -64,6 +66,35 @@ def test_shards_match_the_mixture(spark, monkeypatch, n, window):
     assert stratified_shards(docs.limit(0)).collect() == []
 
 
+def test_shards_by_brute_force(spark):
+    """The order is that of the fractional ranks of a seeded shuffle."""
+    rng = random.Random(3)
+    rows = [(k, f"t{k}", rng.choice("aaabbc")) for k in range(700)] + [(k, f"t{k}", f"only{k}") for k in range(700, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = docs.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id", F.crc32("text")).alias("h"), shard.offset(F.col("source"), 17).alias("u")).collect()
+    by = defaultdict(list)
+    for r in hashed:
+        by[r.source].append(r)
+    order = []
+    for own in by.values():
+        own.sort(key=lambda r: r.h % 2**64)
+        order += [((k + r.u) / len(own), r.h, r.doc_id) for k, r in enumerate(own)]
+    order.sort()
+    n = len(rows)
+    expected = {}
+    for pos, (_, _, doc) in enumerate(order):
+        k = pos * 8 // n
+        expected[doc] = (k, pos - -(-k * n // 8))
+    assert {r.doc_id: (r.shard, r.slot) for r in stratified_shards(docs).collect()} == expected
+
+
+def test_shards_of_sources_with_one_row(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("host"), "id").alias("source"))
+    fractions = docs.select(F.floor(shard.offset(F.col("source"), 17) * 256).alias("b")).groupBy("b").count().agg(F.max("count"), F.count("*")).first()
+    assert fractions[0] < 140 and fractions[1] == 256  # ranges of about 78 rows
+    assert stratified_shards(docs).groupBy("shard").count().where("count <> 2500").isEmpty()
+
+
 def plain_url(url, rules=RULES):
     at = (url or "").find("://")
     rest = url[at + 3 :] if url and at >= 0 else ""
@@ -91,6 +122,28 @@ def test_urls(spark):
     assert all(r.verdict == "allow" for r in none.collect() if r.rule is None) and judge_urls(pages.limit(0), outcomes).collect() == []
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_urls_of_more_hosts_than_a_broadcast_takes(spark, monkeypatch, hot):
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*URLS, *URLS[-2:] * 5])], "page_id long, url string")
+    outcomes = spark.createDataFrame([("bad.example.org", 1)] * 60 + [("ok.example.org", 0)] * 60 + [(f"h{k}.com", k % 2) for k in range(9)], "host string, bad int")
+    expected = sorted(map(tuple, judge_urls(pages, outcomes).collect()), key=str)
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    assert sorted(map(tuple, judge_urls(pages, outcomes).collect()), key=str) == expected
+
+
+def test_host_levels(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "shop.co.uk": ("shop.co.uk", "co.uk"), "x.shop.co.uk:8080": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "u:p@h.example.com:80": ("example.com", "com"), "10.1.2.3:99": ("10.1.2.3", "ip"), "[::1]:80": ("[::1]", "ip"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.com.": ("a.com", "com")}
+    rows = urls._levels(spark.createDataFrame([(h,) for h in hosts], "host string"), urls.SUFFIXES).collect()
+    assert {r.host: (r.domain, r.suffix) for r in rows} == hosts
+
+
+def test_outcomes_of_labels_without_a_value(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k}.com/en/{k}", None) for k in range(5)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, None, 1), (2, 0, None), (3, 0, 0), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, urls.page_outcomes(pages, labels).collect())) == [("h0.com", 0), ("h3.com", 1), ("h3.com", 1)]
+
+
 def test_shrinkage(spark):
     """More outcomes move a host further from its domain's rate."""
     rows = [(f"h{k}.a.com", int(j < 6 + k)) for k in range(9) for j in range(20)] + [("few.a.com", 1)] * 2 + [("more.a.com", 1)] * 20
