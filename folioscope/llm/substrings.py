@@ -1,13 +1,17 @@
-"""Substring dedup over windows of words, grouped by minimizer.
-
-A repeat is a run of `window` equal words at two places. Three steps find all of them:
-
-1. Of each window the run of GRAM words with the least hash is its anchor. Equal windows have equal anchors,
-   so only windows whose anchor occurs twice in the corpus can repeat; all other windows are never moved.
-   Consecutive windows of one anchor travel as one segment.
-2. The remaining windows are dealt out by the anchor, a minimizer. Of a group too large for a task's memory,
-   equal segments are first reduced to the earliest; the windows of the rest are grouped by their MD5.
-3. Each other group's windows are sorted, and equal neighbours are one repeat; all but its first place go.
+"""Substring dedup by prefix-partitioned suffix trees over words.
+
+A repeat is a run of `window` equal words at two places: two suffixes with such a common prefix.
+
+1. Suffixes are dealt by a prefix of variable length: their words up to the end of the run of GRAM words that has the
+   least hash among those of the first `window` words, their anchor. Equal windows have equal prefixes. Prefixes
+   that end in one anchor are one group, so that consecutive suffixes travel as one segment of text; a group
+   whose anchor occurs once in the corpus is a leaf and never moved.
+2. A group of more segments than GROUP_PLACES is reduced to its different segments. If these are still too many, its
+   suffixes are dealt by longer prefixes, of PREFIXES words, until each group fits. Suffixes that still are too
+   many after these are grouped by their first `window` words, and so are one deep node.
+3. Each group is a subtree: its suffixes are sorted by prefix doubling, neighbours' common prefix lengths are read off
+   the ranks, and its internal nodes of depth `window` or more are the repeats; all places of a node but the
+   first go.
 """
 
 from __future__ import annotations
@@ -20,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import body, cut, member, ngram_hashes, prepare, word_hashes
+from folioscope.llm.common import body, cut, member, ngram_hashes, prepare, spread_join, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GRAM = 6
-#: A group of so many segments (under 40 words each, as a rule) takes about 100 MB as a tree; larger ones are split.
-GROUP_PLACES = 20_000
-#: Groups are taken together until they hold so many words.
+#: Segments (under 40 words each, as a rule) of one group at most; with the ranks a group takes about 10 MB.
+GROUP_PLACES = 2_000
+#: Words of the prefixes that larger groups are split by, in turn.
+PREFIXES = (8, 12, 16)
+#: Suffixes in one segment at most; texts that repeat themselves have longer runs, which are cut.
+SEGMENT_WINDOWS = 200
+#: Groups are sorted together until they hold so many words.
 TREE_WORDS = 100_000
 #: In place of a null doc_id.
 LAST_ID = 2**63 - 1
@@ -34,7 +42,8 @@ LAST_ID = 2**63 - 1
 
 def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of word hashes: the anchors' hashes in text order, the first and last window of each anchor's run of windows,
-    and the hashes of grams that recur so near that a single run may hold equal windows."""
+    and the hashes of grams that recur so near that a single run may hold equal windows. Runs of more than
+    SEGMENT_WINDOWS are several."""
     if len(words) < window:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
@@ -45,6 +54,10 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
         least = np.minimum(least[: len(least) - step], least[step:])
         done += step
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    runs = np.diff(np.append(first, len(least)))
+    if runs.max() > SEGMENT_WINDOWS:
+        parts = -(-runs // SEGMENT_WINDOWS)
+        first = np.repeat(first, parts) + SEGMENT_WINDOWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     near = [grams[d:][grams[d:] == grams[:-d]] for d in range(1, min(width, len(grams) - 1) + 1)]
     near = np.unique(np.concatenate(near)) if near else grams[:0]
     return least[first].view(np.int64), first, np.append(first[1:], len(least)) - 1, near.view(np.int64)
@@ -54,21 +67,25 @@ def _digest(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(k) for k in arrays]))).astype(np.int32), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
+
+
 def _scan(window: int):
     def run(batches):
         for batch in batches:
-            counts, digests, keys, twice = [], [], [], []
+            counts, digests, keys, places = [], [], [], []
             for text in batch.column(0).to_pylist():
                 words = WORD.findall(text)
                 key, _, _, near = anchors(word_hashes(words), window)
                 found, times = np.unique(key, return_counts=True)
-                times[member(found, np.sort(near))] = 2
+                recurs = member(found, np.sort(near))
+                times[recurs] = np.maximum(times[recurs], 2)
                 counts.append(len(words))
                 digests.append(_digest(words))
                 keys.append(found)
-                twice.append(found[times > 1])
-            lists = [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(k) for k in ks]))).astype(np.int32), np.concatenate(ks) if ks else np.zeros(0, np.int64)) for ks in (keys, twice)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(digests), *lists], [*batch.schema.names[1:], "n_words", "digest", "keys", "twice"])
+                places.append(times)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(digests), _lists(keys, pa.int64()), _lists(places, pa.int32())], [*batch.schema.names[1:], "n_words", "digest", "keys", "places"])
 
     return run
 
@@ -88,35 +105,79 @@ def _segments(window: int):
                 starts.append(first[at])
                 hashes.append(found[at])
                 runs += [" ".join(words[a:b]) for a, b in zip(first[at].tolist(), (last[at] + window).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(runs, pa.string())], ["doc_id", "th", "start", "key", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(runs, pa.string()), pa.array([False] * len(docs), pa.bool_())], ["key", "doc_id", "th", "start", "words", "single"])
 
     return run
 
 
-def deep_nodes(groups: list[tuple[int, int, int, int, list[str]]], window: int) -> np.ndarray:
-    """Runs (doc, th, start, windows) of repeated windows but their first; groups: (key, doc, th, start, words), whole groups.
+def doubled_ranks(words: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Ranks of all places of `words` by their next 1, 2, 4, ... numbers, until `longest` are compared."""
+    ranks, h = [np.unique(words, return_inverse=True)[1]], 1
+    while h <= longest:
+        now = ranks[-1]
+        pair = now * (len(now) + 1)
+        pair[:-h] += now[h:] + 1
+        ranks.append(np.unique(pair, return_inverse=True)[1])
+        h *= 2
+    return ranks
+
+
+def common_prefixes(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at each two different places."""
+    length = np.zeros(len(a), dtype=np.int64)
+    top = len(ranks[0]) - 1
+    for level in range(len(ranks) - 1, -1, -1):
+        x, y = a + length, b + length
+        same = (np.maximum(x, y) <= top) & (ranks[level][np.minimum(x, top)] == ranks[level][np.minimum(y, top)])
+        length[same] += 1 << level
+    return length
 
-    Words become numbers, each suffix a row of its first `window` of them; rows are sorted, and equal neighbours
-    are a repeat. No common prefix lengths are computed.
+
+def deep_nodes(rows: list[tuple[int, int, int, list[str], bool]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes' places (doc, th, start) in the order of the tree's leaves, for each the node of depth `window` or more
+    that it is of, and each such node's depth: the words that all its suffixes begin with, as far as the rows go.
+
+    rows: (doc, th, start, words, single): the suffixes are all that have `window` words, or only the first.
+    Of nested deep nodes the outermost counts; it has all their places.
     """
     number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for g in groups for w in g[4]), dtype=np.uint32)
-    sizes = np.array([len(g[4]) for g in groups])
-    windows = sizes - window + 1
-    owner = np.repeat(np.arange(len(groups)), windows)
-    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    docs, texts, starts = (np.array([g[k] for g in groups], dtype=np.int64)[owner] for k in (1, 2, 3))
-    starts = starts + inner
-    suffixes = np.ascontiguousarray(flat[((np.cumsum(sizes) - sizes)[owner] + inner)[:, None] + np.arange(window)].astype(">u4"))
-    by_place = np.lexsort((starts, texts, docs))
-    order = by_place[np.argsort(suffixes.view(np.dtype((np.void, 4 * window))).ravel()[by_place], kind="stable")]
-    deep = (suffixes[order[1:]] == suffixes[order[:-1]]).all(axis=1)
-    place = np.stack((docs, texts, starts), axis=1)[order]
-    again = deep & (place[1:] != place[:-1]).any(axis=1)  # rows that repeat a document are no second place
-    gone = place[1:][again]
-    gone = gone[np.lexsort(gone.T[::-1])]
+    sizes = np.array([len(r[3]) for r in rows])
+    heads = np.cumsum(sizes + 1) - sizes - 1
+    # every row ends in a number of its own, so no common prefix goes beyond it
+    flat = np.full(int((sizes + 1).sum()), -1, dtype=np.int64)
+    ends = heads + sizes
+    flat[ends] = np.arange(len(rows))
+    within = np.ones(len(flat), dtype=bool)
+    within[ends] = False
+    flat[within] = np.fromiter((number.setdefault(w, len(number)) for r in rows for w in r[3]), dtype=np.int64, count=int(sizes.sum())) + len(rows)
+    ranks = doubled_ranks(flat, int(sizes.max()))
+    leaves = np.where([r[4] for r in rows], 1, sizes - window + 1)
+    owner = np.repeat(np.arange(len(rows)), leaves)
+    inner = np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+    at = heads[owner] + inner
+    order = np.argsort(ranks[-1][at])
+    at, owner, inner = at[order], owner[order], inner[order]
+    shared = common_prefixes(ranks, at[:-1], at[1:])
+    opens = np.concatenate(([True], shared < window))
+    node = np.cumsum(opens) - 1
+    depth = np.minimum.reduceat(np.append(np.where(opens[1:], 2**31, shared), 2**31), np.flatnonzero(opens)) if len(at) else shared
+    places = np.array([r[:3] for r in rows], dtype=np.int64)[owner]
+    places[:, 2] += inner
+    return places, node, depth
+
+
+def later_places(places: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Runs (doc, th, start, suffixes) of the places that aren't the first of their node. Equal places are one."""
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0], node))
+    places, node = places[order], node[order]
+    same = node[1:] == node[:-1]
+    # a place is later if it differs from the first of its node; rows that repeat a document are no second place
+    head = np.concatenate(([True], ~same))
+    first = places[np.flatnonzero(head)][np.cumsum(head) - 1]
+    gone = places[(places != first).any(axis=1)]
     if not len(gone):
         return np.zeros((0, 4), dtype=np.int64)
+    gone = gone[np.lexsort(gone.T[::-1])]
     gone = gone[np.concatenate(([True], (gone[1:] != gone[:-1]).any(axis=1)))]
     head = np.flatnonzero(np.concatenate(([True], (gone[1:] - gone[:-1] != [0, 0, 1]).any(axis=1))))
     return np.column_stack((gone[head], np.diff(np.append(head, len(gone)))))
@@ -126,24 +187,60 @@ def _trees(window: int):
     """Streams rows sorted by key and builds the trees of whole key groups, TREE_WORDS words or more at a time."""
 
     def flush(held):
-        rows = deep_nodes(held, window) if held else np.zeros((0, 4), dtype=np.int64)
+        rows = later_places(*deep_nodes(held, window)[:2]) if held else np.zeros((0, 4), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["doc_id", "th", "start", "n"])
 
     def run(batches):
-        held: list = []
-        size = 0
+        held, last, size = [], None, 0
         for batch in batches:
-            for key, doc, th, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][0] != key and size >= TREE_WORDS:
+            for key, doc, th, start, words, single in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != key and size >= TREE_WORDS:
                     yield flush(held)
                     held, size = [], 0
-                held.append((key, LAST_ID if doc is None else doc, th, start, words.split(" ")))
-                size += len(held[-1][4])
+                last = key
+                held.append((doc, th, start, words.split(" "), single))
+                size += len(held[-1][3])
         yield flush(held)
 
     return run
 
 
+_ROW = ("key", "doc_id", "th", "start", "words", "single")
+
+
+def _split(large: DataFrame, window: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of the segments of groups that are too large: the rows of smaller groups, and runs of windows that go."""
+    place = F.struct("doc_id", "th", "start")
+    least = cut(large.groupBy("key", "words").agg(F.min(place).alias("least"), F.count("*").alias("m")))
+    if least.isEmpty():
+        return None, None
+    words = F.split("words", " ")
+    gone = spread_join(large, least, ["key", "words"], "m").where(place > F.col("least")).select("doc_id", "th", "start", (F.size(words) - (window - 1)).alias("n"))
+    rows = least.select("key", "least.*", "words", F.lit(False).alias("single"))
+    fit, rows = _fitting(rows)
+    trees = fit.select(*_ROW)
+    if rows.isEmpty():
+        return trees, gone
+    rows = rows.withColumn("w", words).select("doc_id", "th", "start", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (window - 1))).alias("i"))
+    rows = cut(rows.select("doc_id", "th", (F.col("start") + F.col("i") - 1).cast("int").alias("start"), F.slice("w", F.col("i"), 3 * window).alias("w")).withColumn("single", F.lit(True)))
+    for n in PREFIXES:
+        if n < window:
+            fit, rows = _fitting(rows.withColumn("key", F.xxhash64(F.lit(n), F.slice("w", 1, n))))
+            trees = trees.union(fit.withColumn("words", F.array_join("w", " ")).select(*_ROW))
+    rows = rows.select("doc_id", "th", "start", F.array_join(F.slice("w", 1, window), " ").alias("key"))
+    nodes = rows.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("m"))
+    later = spread_join(rows, nodes, ["key"], "m").where(place > F.col("least")).select("doc_id", "th", "start", F.lit(1).alias("n"))
+    return trees, gone.union(later)
+
+
+def _fitting(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups (by key) with GROUP_PLACES rows at most, and the others."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("group_rows"))
+    marked = spread_join(rows, sizes.withColumn("m", F.col("group_rows")), ["key"], "m")
+    fits = F.col("group_rows") <= GROUP_PLACES
+    return marked.where(fits).drop("group_rows"), marked.where(~fits).drop("group_rows")
+
+
 def repeated_windows(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Scans the documents and finds the repeats; see `remove_repeats` for the rules.
 
@@ -154,33 +251,28 @@ def repeated_windows(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body(text).alias("text"))
     base = base.withColumns({"th": F.xxhash64("text"), "check": F.hash(F.lit(window), "text"), "len": F.octet_length("text")})
-    schema = "doc_id long, th long, check int, len int, n_words long, digest string, keys array<long>, twice array<long>"
+    schema = "doc_id long, th long, check int, len int, n_words long, digest string, keys array<long>, places array<int>"
     scan = cut(base.select("text", "doc_id", "th", "check", "len").mapInArrow(_scan(window), schema))
     # equal texts: the first stands for all, and windows of the others all start in it as well
-    first = scan.groupBy("th", "check", "len").agg(F.min("doc_id").alias("first_id"))
-    one = scan.join(first, ["th", "check", "len"])
-    # an anchor that only occurs once within one text is a leaf; `twice` counts those that recur within a text
-    seen = scan.select("th", F.explode("keys").alias("key")).union(scan.select(F.bitwise_not("th").alias("th"), F.explode("twice").alias("key")))
-    shared = seen.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", (F.col("n") > GROUP_PLACES).alias("large"))
-    heads = one.where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", F.explode("keys").alias("key"))
-    heads = heads.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_set(F.when(~F.col("large"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("large"), F.col("key"))).alias("large"))
+    copies = scan.groupBy("th", "check", "len").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1").withColumn("copied", F.lit(True))
+    one = spread_join(scan, copies, ["th", "check", "len"], "m", "left").withColumn("first_id", F.when(F.col("copied"), F.col("first")).otherwise(F.col("doc_id"))).drop("copied", "first")
+    heads = one.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.size("keys") > 0))
+    # an anchor at one place is a leaf
+    seen = heads.select(F.explode(F.arrays_zip("keys", "places")).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.places").alias("m"))
+    shared = seen.where("m > 1").withColumn("large", F.col("m") > GROUP_PLACES)
+    met = spread_join(heads.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", F.explode("keys").alias("key")), shared, ["key"], "m")
+    met = met.groupBy("doc_id", "th").agg(F.collect_set(F.when(~F.col("large"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("large"), F.col("key"))).alias("large"))
     whole = base.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", "text").repartition("doc_id", "th")
-    live = whole.join(heads, ["doc_id", "th"])
-    schema = "doc_id long, th long, start int, key long, words string"
+    live = whole.join(met, ["doc_id", "th"])
+    schema = "key long, doc_id long, th long, start int, words string, single boolean"
     trees = live.where("size(keys) > 0").select("doc_id", "th", "text", "keys").mapInArrow(_segments(window), schema)
-    trees = trees.select("key", "doc_id", "th", "start", "words").repartition("key").sortWithinPartitions("key")
-    gone = trees.mapInArrow(_trees(window), "doc_id long, th long, start int, n int")
     large = live.where("size(large) > 0").select("doc_id", "th", "text", F.col("large").alias("keys")).mapInArrow(_segments(window), schema)
-    large = large.select("key", "words", F.struct("doc_id", "th", "start").alias("place"))
-    least = large.groupBy("key", "words").agg(F.min("place").alias("least"))
-    copies = large.join(least, ["key", "words"]).where("place > least").select("place.*", (F.size(F.split("words", " ")) - (window - 1)).alias("n"))
-    split = least.withColumn("w", F.split("words", " ")).select("least", "w", F.posexplode(F.sequence(F.lit(1), F.size("w") - (window - 1))).alias("i", "from"))
-    split = split.select(F.md5(F.array_join(F.slice("w", F.col("from"), window), " ")).alias("prefix"), F.struct("least.doc_id", "least.th", (F.col("least.start") + F.col("i")).alias("start")).alias("place"))
-    least = split.groupBy("prefix").agg(F.min("place").alias("least"))
-    split = split.join(least, "prefix").where("place > least").select("place.*", F.lit(1).alias("n"))
-    gone = gone.union(copies).union(split)
+    smaller, gone = _split(large, window)
+    trees = trees if smaller is None else trees.union(smaller)
+    found = trees.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "doc_id long, th long, start int, n int")
+    gone = found if gone is None else found.union(gone)
     starts = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-    return one.drop("keys", "twice"), whole.join(starts, ["doc_id", "th"])
+    return one.drop("keys", "places"), whole.join(starts, ["doc_id", "th"])
 
 
 def covered(runs: list[dict], n: int, window: int) -> np.ndarray:

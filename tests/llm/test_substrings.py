@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from folioscope.llm import substrings
-from folioscope.llm.substrings import op6, remove_repeats
+from folioscope.llm import common, substrings
+from folioscope.llm.substrings import common_prefixes, deep_nodes, doubled_ranks, later_places, op6, remove_repeats
 
 
 def brute(rows, window):
@@ -42,9 +43,11 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "places"), [(1, 2_000), (2, 3)])
-def test_against_brute_force(spark, tmp_path, monkeypatch, seed, places):
-    monkeypatch.setattr(substrings, "GROUP_PLACES", places)  # 3: nearly all groups are split by longer prefixes
+@pytest.mark.parametrize(("seed", "places", "windows", "hot"), [(1, 2_000, 1_000, 20_000), (2, 3, 7, 1), (3, 1, 1_000, 20_000)])
+def test_against_brute_force(spark, tmp_path, monkeypatch, seed, places, windows, hot):
+    monkeypatch.setattr(substrings, "GROUP_PLACES", places)  # 1 and 3: nearly all groups are split by longer prefixes
+    monkeypatch.setattr(substrings, "SEGMENT_WINDOWS", windows)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = corpus(seed)
     random.Random(seed).shuffle(rows)
     spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, starts string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -53,6 +56,53 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, seed, places):
     assert sum(r[1] for r in found.values()) > 500
 
 
+def test_common_prefixes_are_those_of_the_suffixes():
+    rng = random.Random(2)
+    for n in (1, 2, 40, 200):
+        row = np.array([rng.randint(0, 2) for _ in range(n)] + [9])
+        ranks = doubled_ranks(row, n)
+        assert sorted(range(n + 1), key=lambda k: row[k:].tolist()) == np.argsort(ranks[-1]).tolist()
+        a, b = np.array([(rng.randrange(n + 1), rng.randrange(n + 1)) for _ in range(300)]).T
+        a, b = a[a != b], b[a != b]
+        length = lambda x, y: next((k for k, (p, q) in enumerate(zip(row[x:], row[y:], strict=False)) if p != q), n + 1 - max(x, y))
+        assert common_prefixes(ranks, a, b).tolist() == [length(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_deep_nodes_are_maximal_repeats():
+    """Each node's suffixes are all that begin with its words, and it is as deep as they agree."""
+    rng, window = random.Random(8), 4
+    rows = [(doc, 0, 10 * doc, [rng.choice("ab") for _ in range(rng.randint(4, 30))], False) for doc in range(12)]
+    rows += [(20, 0, 5, list("abababab"), True), (21, 0, 0, rows[0][3], False)]
+    places, node, depth = deep_nodes(rows, window)
+    suffixes = {(d, t, s + k): tuple(w[k:]) for d, t, s, w, single in rows for k in range(1 if single else len(w) - window + 1)}
+    assert len(places) == len(suffixes)
+    groups = {}
+    for p, n in zip(map(tuple, places.tolist()), node.tolist(), strict=True):
+        groups.setdefault(n, []).append(suffixes[p])
+    starts = {}
+    for p, suffix in suffixes.items():
+        starts.setdefault(suffix[:window], []).append(suffix)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, starts.values()))
+    for n, own in groups.items():
+        if len(own) > 1:
+            agree = next((k for k, column in enumerate(zip(*own, strict=False)) if len(set(column)) > 1), min(map(len, own)))
+            assert depth[n] == agree >= window
+    gone = {(d, t, s + k) for d, t, s, n in later_places(places, node).tolist() for k in range(n)}
+    firsts = {}
+    for p in sorted(suffixes):
+        firsts.setdefault(suffixes[p][:window], p)
+    assert gone == {p for p, x in suffixes.items() if firsts[x[:window]] != p}
+
+
+def test_a_line_many_times_within_and_across_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP_PLACES", 50)
+    line = " ".join(f"line{k}" for k in range(25))
+    rows = [(k, "\n".join([f"own{k}"] + [f"{line} {'x' * (j % 3)}" for j in range(20)])) for k in range(30)] + [(99, "word " * 30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op6(spark, str(tmp_path)).collect()}
+    assert found == brute(rows, 20)
+
+
 def test_repeated_rows_are_one_document_and_empty_tables_pass(spark, tmp_path):
     text = " ".join(f"w{k}" for k in range(40))
     spark.createDataFrame([(1, text), (1, text), (2, "a b " + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
