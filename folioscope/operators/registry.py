@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.joins import connected_components
 from folioscope.functions.lineage import settle
 from folioscope.operators.extraction import minted_id
 from folioscope.operators.names import capitalised_runs, lowercase_words, residues
@@ -118,7 +119,7 @@ def title_variants(rows: DataFrame) -> DataFrame:
     people = rows.where("type = 'character'").withColumn("bare", without_titles(F.col("name"))).where(F.length("bare") >= 3).withColumn("key", T.match_key("bare"))
     groups = people.groupBy("book_id", "key").agg(F.array_sort(F.collect_list(F.struct("ord", "entity_id", T.match_key("name").alias("full")))).alias("g"))
     groups = groups.where(F.size(F.array_distinct(F.transform("g", lambda x: x["full"]))) >= 2)
-    pairs = groups.select("book_id", F.col("g")[0]["entity_id"].alias("a"), F.explode(F.slice("g", 2, 10_000_000)).alias("o"))
+    pairs = groups.select("book_id", F.col("g")[0]["entity_id"].alias("a"), F.explode(F.slice("g", F.lit(2), F.size("g"))).alias("o"))
     return pairs.select("book_id", "a", F.col("o.entity_id").alias("b"), F.lit(0).alias("rule"))
 
 
@@ -177,21 +178,13 @@ def variant_pairs(entities: DataFrame, chapters: DataFrame) -> DataFrame:
     return title_variants(rows).union(fuller_names(rows)).union(stated_variants(rows, chapters)).union(residue_variants(rows, chapters))
 
 
-def components(edges: DataFrame, scope: list[str] = (), rounds: int = 100) -> DataFrame:
-    """(scope, node, component): the smallest node that a node reaches over edges (scope, a, b). Labels fall until none does."""
+def components(edges: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """(scope, node, component): the smallest node that a node reaches over edges (scope, a, b); itself where it has only loops."""
     scope = list(scope)
-    both = edges.select(*scope, F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select(*scope, "b", "a")).distinct()
-    labels = both.groupBy(*scope, F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
-    for _ in range(rounds):
-        near = both.join(labels.select(*scope, F.col("node").alias("y"), F.col("component").alias("c")), [*scope, "y"]).groupBy(*scope, F.col("x").alias("node")).agg(F.min("c").alias("c"))
-        step = labels.join(near, [*scope, "node"]).select(*scope, "node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("fell"))
-        hop = step.select(*scope, F.col("node").alias("component"), F.col("component").alias("hop"))
-        step = step.join(hop, [*scope, "component"], "left").select(*scope, "node", F.least("component", F.coalesce("hop", F.col("component"))).alias("component"), "fell")
-        step = settle(step)
-        if step.where("fell").isEmpty():
-            return step.drop("fell")
-        labels = step.drop("fell")
-    raise RuntimeError(f"components did not settle within {rounds} rounds")
+    edges = settle(edges.select(*scope, "a", "b").distinct())
+    found = connected_components(edges.select(*scope, F.col("a").alias("u"), F.col("b").alias("v")), scope)
+    nodes = edges.select(*scope, F.col("a").alias("node")).union(edges.select(*scope, "b")).distinct()
+    return nodes.join(found, [*scope, "node"], "left").select(*scope, "node", F.coalesce("component", "node").alias("component"))
 
 
 def name_variant_clusters(entities: DataFrame, chapters: DataFrame) -> DataFrame:
