@@ -18,8 +18,6 @@ WORD = re.compile(r"\w+")
 #: Rows and bytes of one Arrow batch at most (a row longer than that comes alone). The session's own bounds hold
 #: where they are lower.
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
-#: Rows of one join key that one task may take; keys of more are broadcast.
-HOT_ROWS = 20_000
 _MAX_CACHED_WORDS = 400_000
 
 
@@ -141,20 +139,3 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     """The table, cut and counted: to be broadcast if it has `rows` rows at most, else joined by a shuffle."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= rows else df.hint("merge")
-
-
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", bound: int = 300_000, total: int | None = None) -> DataFrame:
-    """rows joined with table, which has each key once and tells in `weight` how many of the rows have it.
-
-    A table of at most `bound` rows is broadcast. Of a larger one the hot keys are: those with more rows than
-    HOT_ROWS or than `bound` keys can have of all, so there are never more than `bound`. The others are joined
-    by a shuffle, in which no key is hot. `weight` is dropped. A null key finds nothing.
-    """
-    table = cut(table)
-    if table.count() <= bound:
-        return rows.join(F.broadcast(table.drop(weight)), keys, how)
-    total = table.agg(F.sum(weight)).first()[0] if total is None else total
-    hot = F.col(weight) > max(HOT_ROWS, total // bound + 1)
-    few = F.broadcast(table.where(hot).drop(weight))
-    at_hot = rows.join(few, keys, "inner")
-    return at_hot.unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(table.where(~hot).drop(weight).hint("merge"), keys, how))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import body, cut, spread_join
+from folioscope.functions.joins import spread_join
+from folioscope.llm.common import body, cut
 
 #: Tables of equal texts' groups with at most so many rows are broadcast (under 150 bytes a row).
 BROADCAST_ROWS = 300_000

@@ -10,16 +10,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD, body, bounded, cut, labelled_shingles, mix, prepare
-from folioscope.llm.components import connected_components
+from folioscope.functions.joins import connected_components, spread_join
+from folioscope.llm.common import WORD, body, bounded, cut, document_key, labelled_shingles, member, mix, prepare
 
 #: Sketches of TUPLE shingles each, and as many over first occurrences alone: a pair of similarity 0.8 shares none
 #: of the latter with a chance of about 1 in 100,000.
 SKETCHES, TUPLE = 16, 3
 #: Part of two texts' common shingles that must stand in the same order.
 IN_ORDER = 0.8
-#: Shingles in a block of a candidate group; a task compares two blocks at most.
+#: Shingles in a block of a bucket; a task compares two blocks at most.
 BLOCK_SHINGLES = 300_000
+#: Documents that one task compares with the first of their bucket, about.
+STAR_ROWS = 2_000
 BROADCAST_ROWS = 300_000
 _rng = np.random.default_rng(20190707)
 _SEEDS = _rng.integers(0, 2**64, SKETCHES, dtype=np.uint64)[:, None]
@@ -73,11 +75,12 @@ def similar(a: np.ndarray, b: np.ndarray, common: int, threshold: float) -> bool
     return common * (1 + threshold) >= threshold * total - 1e-9 and aligned(a, b, int(total - 2 * need) + 1) >= need - 1e-9
 
 
-def link_group(ids: list[int], shingles: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Edges that connect what the links of the group connect, at most one for each document.
+def link_group(ids: list[int], shingles: list[np.ndarray], threshold: float, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what the links of the group connect, beyond what `classes` has connected already.
 
-    Searches breadth first: each document is compared with those that nothing has reached yet. Common
-    shingles are counted for all of these, and pairs that have enough of them are aligned.
+    Searches breadth first: each document is compared with those that nothing has reached yet; with one of a
+    class all of the class are reached. Common shingles are counted for all of these, and pairs that have
+    enough of them are aligned.
     """
     sizes = np.array([len(s) for s in shingles])
     _, inverse, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
@@ -86,10 +89,12 @@ def link_group(ids: list[int], shingles: list[np.ndarray], threshold: float) ->
     codes, doc = inverse[shared], doc[shared]
     own = np.split(codes, np.flatnonzero(doc[1:] != doc[:-1]) + 1) if len(codes) else []
     codes_of = dict(zip(np.unique(doc).tolist(), own, strict=True))
+    class_of = np.arange(len(ids)) if classes is None else np.unique(np.array(classes), return_inverse=True)[1]
     left = np.array(sorted(codes_of, key=lambda k: ids[k]), dtype=np.int64)
     mark, edges = np.zeros(len(times), dtype=np.int32), []
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
+        reached = class_of[left] == class_of[left[0]]
+        queue, left = left[reached].tolist(), left[~reached]
         flat, starts, packed = np.zeros(0, dtype=np.int64), left, None
         while queue and len(left):
             q = queue.pop()
@@ -104,8 +109,9 @@ def link_group(ids: list[int], shingles: list[np.ndarray], threshold: float) ->
             may = (common * (1 + threshold) >= threshold * (sizes[q] + sizes[packed]) - 1e-9) & np.isin(packed, left)
             found = [u for u, n in zip(packed[may].tolist(), common[may].tolist(), strict=True) if similar(shingles[q], shingles[u], n, threshold)]
             edges += [(ids[q], ids[u]) for u in found]
-            queue += found
-            left = left[~np.isin(left, found)]
+            reached = np.isin(class_of[left], class_of[found])
+            queue += left[reached].tolist()
+            left = left[~reached]
     return edges
 
 
@@ -113,7 +119,7 @@ def _scan(size: int):
     def run(batches):
         for batch in batches:
             first, second, counts, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 words = WORD.findall(text.lower())
                 whole = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
                 shingles, new = labelled_shingles(text, size)
@@ -123,73 +129,129 @@ def _scan(size: int):
                 keys.append(order_sketch(shingles) if new.all() else np.union1d(order_sketch(shingles), order_sketch(shingles[new])))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(counts, pa.int64()), lists], ["doc_id", "s1", "s2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(counts, pa.int64()), lists], ["node", "doc_id", "s1", "s2", "n", "keys"])
 
     return run
 
 
-def _verify(size: int, threshold: float):
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _stars(size: int, threshold: float):
+    """Streams rows sorted by (v, part, ray): the texts of v first, then those to be compared with it."""
+
+    def run(batches):
+        group, centers = None, []
+        for batch in batches:
+            found = []
+            for v, part, ray, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (v, part) != group:
+                    group, centers = (v, part), []
+                shingles, new = labelled_shingles(text, size)
+                shingles = shingles[new]
+                if not ray:
+                    centers.append((shingles, np.sort(shingles)))
+                elif any(similar(shingles, c, int(member(shingles, s).sum()), threshold) for c, s in centers):
+                    found.append((node, v))
+            yield _edges(found)
+
+    return run
+
+
+def _blocks(size: int, threshold: float):
     """Streams rows sorted by (g, i, j) and links each such group."""
 
-    def flush(ids, held):
-        edges = link_group(ids, held, threshold) if len(ids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+    def flush(ids, held, classes):
+        return _edges(link_group(ids, held, threshold, classes) if len(ids) > 1 else [])
 
     def run(batches):
-        group, ids, held = None, [], []
+        group, ids, held, classes = None, [], [], []
         for batch in batches:
-            for g, i, j, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, i, j, node, class_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, i, j) != group:
                     if len(ids) > 1:
-                        yield flush(ids, held)
-                    group, ids, held = (g, i, j), [], []
+                        yield flush(ids, held, classes)
+                    group, ids, held, classes = (g, i, j), [], [], []
                 shingles, new = labelled_shingles(text, size)
                 if len(shingles):
-                    ids.append(doc)
+                    ids.append(node)
                     held.append(shingles[new])
-        yield flush(ids, held)
+                    classes.append(class_)
+        yield flush(ids, held, classes)
 
     return run
 
 
+def star_links(rays: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Those of the pairs (u, v) that are near copies. texts: (node, text); a v of many pairs is sent to several tasks."""
+    parts = rays.groupBy("v").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"), F.count("*").alias("m"))
+    spread = spread_join(rays, parts, ["v"], "m").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("ray"), F.col("u").alias("node"))
+    heads = parts.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("ray"), F.col("v").alias("node"))
+    rows = texts.join(bounded(spread.union(heads), BROADCAST_ROWS), "node").select("v", "part", "ray", "node", "text")
+    return rows.repartition("v", "part").sortWithinPartitions("v", "part", "ray").mapInArrow(_stars(size, threshold), "u long, v long")
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links between documents of a bucket that are of different classes. members: (key, node, class, n).
+
+    A bucket is cut into blocks of BLOCK_SHINGLES; each two of its blocks meet in one task.
+    """
+    blocks = members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("m"))
+    rows = spread_join(members, blocks, ["key"], "m").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.when(F.col("blocks") < 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("b")))
+    rows = rows.select("key", "b", F.explode(others).alias("o"), "node", "class")
+    rows = texts.join(bounded(rows, BROADCAST_ROWS), "node").select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "class", "text")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(size, threshold), "u long, v long")
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, doc_id, class), a row for each row given; node is common.document_key. See near_duplicates."""
+    prepare(docs.sparkSession)
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body(text).alias("text")).select(document_key().alias("node"), "doc_id", "text")
+    rows = cut(base.mapInArrow(_scan(size), "node long, doc_id long, s1 long, s2 long, n long, keys array<long>"))
+    same = rows.groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.count("*").alias("m"))
+    copied = spread_join(rows, same.where("m > 1").withColumn("w", F.col("m")), ["s1", "s2"], "w", "left").withColumn("rep", F.coalesce("rep", "node"))
+    held = copied.where("node = rep").select("rep", "n", F.explode("keys").alias("key"))
+    stars = held.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("top"), F.count("*").alias("m")).where("v < top").drop("top")
+    buckets = cut(spread_join(held, stars, ["key"], "m"))
+    inside = buckets.select("rep").distinct()
+    texts = cut(base.select("node", "text").join(bounded(inside.withColumnRenamed("rep", "node"), BROADCAST_ROWS), "node"))
+    links = cut(star_links(cut(buckets.where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()), texts, threshold, size))
+    classes = connected_components(links)
+    # what the stars leave: buckets of three documents or more in several classes, equal buckets once
+    found = buckets.join(bounded(classes.withColumnRenamed("node", "rep"), BROADCAST_ROWS), "rep", "left").select("key", F.col("rep").alias("node"), "n", F.coalesce("component", "rep").alias("class"))
+    found = cut(found.groupBy("key", "node").agg(F.max("n").alias("n"), F.first("class").alias("class")))
+    mark = F.xxhash64("node")
+    open_ = found.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("m"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("s")).where("a < b and m > 2")
+    open_ = open_.groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", "m")
+    more = bucket_links(spread_join(found, open_, ["key"], "m"), texts, threshold, size)
+    several = copied.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("m")).where("a < b")  # one doc_id, several texts
+    ends = spread_join(copied.select("node", "rep"), several, ["node"], "m").select(F.col("rep").alias("u"), F.col("a").alias("v"))
+    classes = connected_components(links.union(more).union(ends)).withColumnRenamed("node", "rep")
+    sizes = copied.groupBy("rep").agg(F.count("*").alias("m"))
+    classes = classes.join(sizes, "rep")
+    return spread_join(copied.select("rep", "node", "doc_id"), classes, ["rep"], "m", "left").select("node", "doc_id", F.coalesce("component", "rep").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, kept), a row for each row given: classes are what links of near copies connect.
 
     Two texts are linked if their sets of word shingles have a Jaccard similarity of `threshold`, and their
     alignment shows that the common ones stand in the same order but for a fifth. Candidates share an order
-    sketch, of all occurrence-labelled shingles or of the first occurrences alone.
-    Texts of the same words are one from the start. A sketch's documents are joined in a star, never in pairs; the
-    connected candidate groups are cut into blocks that fit a task, each two blocks of a group meet in one
-    task, and no pair in a group is left unexamined. The smallest doc_id of a class is its id and stays.
+    sketch, of all occurrence-labelled shingles or of the first occurrences alone: they are a bucket.
+    Texts of the same words are one from the start. The documents of a bucket are first compared with its first
+    one, a star, never in pairs. Where that leaves a bucket in several classes, documents of different classes
+    in it are compared, in blocks that fit a task; so no two documents that share a sketch are left both
+    unexamined and unconnected. The smallest doc_id of a class is its id and stays.
 
     Null and empty texts are copies of each other. Rows that share a doc_id are one document and in one
-    class. Rows with a null doc_id take no part: their class is null and they are kept.
+    class. A row with a null doc_id has a number from its text in place of one, larger than all ids, so that it
+    goes if its class has an id; the class_id of a class without any id is null, and the equal texts that have
+    the least number in it stay.
     """
-    spark = prepare(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body(text).alias("text"))
-    rows = cut(base.mapInArrow(_scan(size), "doc_id long, s1 long, s2 long, n long, keys array<long>"))
-    same = rows.where("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    heads = rows.join(same.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id = rep").select("rep", F.explode("keys").alias("key"))
-    stars = heads.groupBy("key").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v < top")
-    groups = connected_components(heads.join(stars, "key").select(F.col("rep").alias("u"), "v"))
-    members = cut(groups.join(same.groupBy("rep").agg(F.max("n").alias("n")), F.col("node") == F.col("rep")).select("node", F.col("component").alias("g"), "n"))
-    blocks = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = members.join(blocks, "g").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") < 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("b")))
-    members = members.select("g", "b", others.alias("others"), F.col("node").alias("doc_id"))
-    tasks = base.join(bounded(members, BROADCAST_ROWS), "doc_id").select("g", "b", F.explode("others").alias("o"), "doc_id", "text")
-    tasks = tasks.select("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "doc_id", "text")
-    tasks = tasks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    classes = connected_components(tasks.mapInArrow(_verify(size, threshold), "u long, v long"))
-    # documents of one doc_id and several texts
-    found = rows.select("doc_id", "s1", "s2").join(same.select("s1", "s2", "rep"), ["s1", "s2"], "left")
-    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    if not several.isEmpty():
-        ends = found.join(several, "doc_id").select(F.col("rep").alias("u"), F.col("a").alias("v"))
-        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(ends))
-    found = found.join(classes, F.col("rep") == F.col("node"), "left")
-    found = found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("class_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    rows = near_classes(docs, threshold, size, doc_id, text)
+    return rows.select("doc_id", F.when(F.col("class") < 2**62, F.col("class")).alias("class_id"), (F.col("node") == F.col("class")).alias("kept"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import body, cut, member, ngram_hashes, prepare, spread_join, word_hashes
+from folioscope.functions.joins import spread_join
+from folioscope.llm.common import body, cut, member, ngram_hashes, prepare, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GRAM = 6
