@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bounded, cut
+from folioscope.llm.common import bounded, cut, document_key
 from folioscope.llm.decontaminate import without_passages
-from folioscope.llm.minhash import near_duplicates
+from folioscope.llm.minhash import near_classes
 from folioscope.llm.mixing import mix
 from folioscope.llm.quality import fit_table, grade, select_documents
 from folioscope.llm.shard import stratified_shards
@@ -28,14 +28,15 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, once."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(bounded(gone, BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
-    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each class of near copies stays, once; one without an id only if its class has none."""
+    gone = near_classes(docs).where("node <> class").select("node").distinct()
+    docs = docs.select(document_key().alias("node"), *COLUMNS)
+    kept = docs.join(bounded(gone, BROADCAST_IDS), "node", "left_anti")
+    repeated = cut(docs.groupBy("node").count().where("count > 1").select("node"))
     if repeated.isEmpty():
-        return kept
+        return kept.select(*COLUMNS)
     repeated = bounded(repeated, BROADCAST_IDS)
-    return kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    return kept.join(repeated, "node", "left_anti").unionByName(kept.join(repeated, "node", "left_semi").dropDuplicates(["node"])).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
