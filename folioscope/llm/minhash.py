@@ -218,7 +218,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id:
     inside = buckets.select("rep").distinct()
     texts = cut(base.select("node", "text").join(bounded(inside.withColumnRenamed("rep", "node"), BROADCAST_ROWS), "node"))
     links = cut(star_links(cut(buckets.where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()), texts, threshold, size))
-    classes = connected_components(links)
+    classes = cut(connected_components(links))
     # what the stars leave: buckets of three documents or more in several classes, equal buckets once
     found = buckets.join(bounded(classes.withColumnRenamed("node", "rep"), BROADCAST_ROWS), "rep", "left").select("key", F.col("rep").alias("node"), "n", F.coalesce("component", "rep").alias("class"))
     found = cut(found.groupBy("key", "node").agg(F.max("n").alias("n"), F.first("class").alias("class")))
@@ -228,9 +228,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id:
     more = bucket_links(spread_join(found, open_, ["key"], "m"), texts, threshold, size)
     several = copied.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("m")).where("a < b")  # one doc_id, several texts
     ends = spread_join(copied.select("node", "rep"), several, ["node"], "m").select(F.col("rep").alias("u"), F.col("a").alias("v"))
-    classes = connected_components(links.union(more).union(ends)).withColumnRenamed("node", "rep")
-    sizes = copied.groupBy("rep").agg(F.count("*").alias("m"))
-    classes = classes.join(sizes, "rep")
+    more = cut(more.union(ends))
+    if not more.isEmpty():
+        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    classes = classes.withColumnRenamed("node", "rep").join(copied.groupBy("rep").agg(F.count("*").alias("m")), "rep")
     return spread_join(copied.select("rep", "node", "doc_id"), classes, ["rep"], "m", "left").select("node", "doc_id", F.coalesce("component", "rep").alias("class"))
 
 
