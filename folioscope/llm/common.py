@@ -58,17 +58,19 @@ def body(column: str | Column = "text") -> Column:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    """Hashes of words, given as text or as its UTF-8 bytes."""
+
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) >= _MAX_CACHED_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         return value
 
 
 _hashes = _WordHashes()
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[str] | list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

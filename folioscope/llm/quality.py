@@ -147,27 +147,35 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     thresholds = np.log((1 - share) / share) + np.arange(levels - 1) * 1e-3
     if not n:
         return OrdinalModel(weights, thresholds, np.full(BUCKETS // 8, 255, dtype=np.uint8))
-    flat, sizes = np.concatenate([r[0] for r in rows]), np.array([len(r[0]) for r in rows])
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    times = np.bincount(flat, minlength=BUCKETS)
+    # rows are gone through in parts, so that little more than they is held
+    parts = [slice(k, min(k + 500, n)) for k in range(0, n, 500)]
+    better = np.zeros((levels, BUCKETS), dtype=np.int64)  # rows with the bucket, by the grades that they are above; last all
+    for part in parts:
+        flat, of = np.concatenate([r[0] for r in rows[part]]), np.repeat(grades[part], [len(r[0]) for r in rows[part]])
+        for k in range(levels - 1):
+            better[k] += np.bincount(flat[of > k], minlength=BUCKETS)
+        better[-1] += np.bincount(flat, minlength=BUCKETS)
+    times = better[-1]
     seen = np.packbits(times >= min(LEAST_ROWS, max(n // 100, 1)), bitorder="little")
-    share = times / n
-    up = np.zeros(BUCKETS)
-    down = np.zeros(BUCKETS)
+    up, down = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for k in range(levels - 1):  # of each bucket's presence against each cut of the grades
-        better = (grades > k) - (grades > k).mean()
-        z = np.bincount(flat, weights=better[owner], minlength=BUCKETS)
-        z /= np.sqrt(np.maximum(n * share * (1 - share) * max(float((better**2).mean()), 1e-9), 1e-9))
+        rate = (grades > k).mean()
+        z = (better[k] - rate * times) / np.sqrt(np.maximum(times * (1 - times / n) * max(rate * (1 - rate), 1e-9), 1e-9))
         up, down = np.maximum(up, z), np.maximum(down, -z)
-    enough = times >= LEAST_ROWS
-    chosen = np.flatnonzero(((up >= MERIT_Z) | (down >= DEFECT_Z)) & enough)
+    chosen = np.flatnonzero(((up >= MERIT_Z) | (down >= DEFECT_Z)) & (times >= LEAST_ROWS))
     sign = np.where(up[chosen] > down[chosen], 1.0, -1.0)
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[flat] >= 0
-    column, owner = place[flat[use]], owner[use]
-    value = np.where(sign[column] > 0, np.concatenate([r[1] for r in rows])[use] / SHARE, 1.0)
-    del flat, use, place, z, up, down, share, times
+    found = [[], [], []]
+    for part in parts:
+        column = place[np.concatenate([r[0] for r in rows[part]])]
+        use = column >= 0
+        found[0].append(column[use])
+        found[1].append(np.repeat(np.arange(part.start, part.stop), [len(r[0]) for r in rows[part]])[use])
+        found[2].append(np.concatenate([r[1] for r in rows[part]])[use])
+    column, owner, value = map(np.concatenate, found)
+    value = np.where(sign[column] > 0, value / SHARE, 1.0)
+    del found, place, better, times, up, down, z
     # thresholds stay in order as a first one and logarithms of the steps to the next
     at = np.concatenate((np.zeros(len(chosen)), thresholds[:1], np.log(np.diff(thresholds))))
     first, second = np.zeros_like(at), np.zeros_like(at)
