@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import warnings
 import zlib
 from collections import Counter, defaultdict
@@ -191,7 +192,7 @@ def test_mixture(spark, monkeypatch, cells):
 
 def test_both_rakings_agree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    cells = docs.select(F.col("source"), "lang", mixing.topic().alias("topic"), mixing.tokens().alias("tokens")).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    cells = docs.select(F.col("source"), "lang", mixing.topic(mixing.fit_topics(docs)).alias("topic"), mixing.tokens().alias("tokens")).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
     a, b = ({(r.source, r.lang, r.topic): r.chance for r in f(cells, mixing.PRODUCTION).collect()} for f in (mixing._driver_cells, mixing._table_cells))
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 0.02
     assert urls.OP7_SQL
@@ -241,16 +242,82 @@ def test_both_rakings_agree_on_sparse_cells(spark, rest, met):
     assert told == [not met] * 2
 
 
+def test_topics_by_brute_force(spark):
+    rng = random.Random(11)
+    lists = [[f"{chr(97 + t)}{''.join(rng.choices('bcdfgh', k=5))}" for _ in range(40)] for t in range(3)]
+    rows = [(k, " ".join(rng.choices(lists[k % 3], k=rng.randint(20, 200)))) for k in range(300)] + [(400, None), (401, ""), (402, "12 ."), (403, "\u00c9t\u00e9 b"), (404, "\u00e9t\u00e9 B b"), (None, "x"), (5, "again"), (405, "word " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = mixing.fit_topics(docs, rows=200)
+    assert weights.shape == (mixing.TOPICS, mixing.DIMS) and (weights == mixing.fit_topics(docs.repartition(7), rows=200)).all()
+    found = [r.topic for r in docs.coalesce(1).select(mixing.topic(weights).alias("topic")).collect()]
+    of = lambda text: sorted(set(re.findall(r"[^\W\d_]+", (text or "").lower())))
+    words = sorted({w for _, t in rows for w in of(t)})
+    classes = {r.w: r.c for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.hash("w"), F.lit(mixing.DIMS)).alias("c")).collect()}
+    for topic, (_, text) in zip(found, rows, strict=True):
+        counts = np.bincount([classes[w] for w in of(text)], minlength=mixing.DIMS)
+        if not of(text):
+            assert topic == "none"
+        else:
+            scores = weights @ counts
+            assert scores[int(topic[1:])] >= scores.max() - 1e-9
+    majority = [Counter(found[k] for k in range(300) if k % 3 == t).most_common(1)[0] for t in range(3)]
+    assert len({m[0] for m in majority}) == 3 and min(m[1] for m in majority) > 60  # six topics for three: one is split
+    assert not len(mixing.fit_topics(docs.limit(0))) and docs.limit(3).select(mixing.topic(mixing.fit_topics(docs.limit(0)))).distinct().collect()[0][0] == "none"
+
+
 def test_topic_is_of_the_whole_text(spark):
-    rng, letters = random.Random(11), "abcdefghijklmnoprstuvwxyz"
-    word = lambda: "".join(rng.choices(letters, k=rng.randint(2, 9)))
-    bodies = [" ".join(word() for _ in range(300)) for _ in range(200)]
-    rows = [(k, f"{first}{b}") for k, b in enumerate(bodies) for first in ("", "Same ")]
-    found = defaultdict(list)
-    for r in spark.createDataFrame(rows, "k int, text string").select("k", mixing.topic().alias("topic")).collect():
-        found[r.k].append(r.topic)
-    assert sum(a != b for a, b in found.values()) < 0.1 * len(bodies)  # one word in front
-    assert len({b for _, b in found.values()}) == mixing.TOPICS  # the same first word
-    texts = [None, "", "12 .", "x", "\u00c9t\u00e9 b", "\u00e9t\u00e9 B b"]
-    topics = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(mixing.topic()).collect()]
-    assert topics[:3] == ["none"] * 3 and topics[3] != "none" and topics[4] == topics[5]
+    """One word in front moves few of the texts, also where all begin with the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 500")
+    weights = mixing.fit_topics(docs)
+    found = docs.select(mixing.topic(weights).alias("a"), F.concat(F.lit("Same "), "text").alias("text")).select("a", mixing.topic(weights).alias("b"))
+    assert found.agg(F.avg((F.col("a") != F.col("b")).cast("int"))).first()[0] < 0.1 and found.select("b").distinct().count() == mixing.TOPICS
+
+
+def test_token_estimate(spark):
+    """Against the encoder, on documents that it wasn't fitted on."""
+    from folioscope.llm.tokens import section_tokens
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    real = section_tokens(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("real"))
+    both = docs.select("doc_id", "lang", mixing.tokens().alias("guess")).join(real, "doc_id")
+    assert both.agg(F.sum(F.abs(F.col("real") - F.col("guess"))) / F.sum("real")).first()[0] < 0.05
+    by = both.groupBy("lang").agg(F.sum("real").alias("real"), F.sum("guess").alias("guess")).collect()
+    assert all(abs(r.guess / r.real - 1) < 0.06 for r in by)
+    edge = spark.createDataFrame([(None,), ("",), (" \n",), ("a",), ("\u00e9",)], "text string").coalesce(1).select(mixing.tokens()).collect()
+    assert [r[0] for r in edge] == [0, 0, 0, 1, 1]
+
+
+def test_mixture_by_brute_force(spark):
+    """Chances from a plain fitting over the rows, draws from their hashes."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices(["lorem", "ipsum", "dolor", "sit"], k=rng.randint(1, 60))), rng.choice("aaaab"), rng.choice(["en", "en", "de", None])) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = Targets({"source": {"a": 0.6, "b": 0.4}, "lang": {"de": 0.3}}, {"topic": 0.5}, 0.4)
+    found = mix(docs, targets).collect()
+    weight = defaultdict(float)
+    for r in found:
+        weight[r.source, r.lang, r.topic] += r.tokens
+    total = sum(weight.values())
+    held = dict(weight)
+    goals = []
+    for d, (fixed, temper) in enumerate((({"a": 0.6, "b": 0.4}, 1), ({"de": 0.3}, 1), ({}, 0.5))):
+        own = defaultdict(float)
+        for cell, w in held.items():
+            own[cell[d]] += w
+        free = {v: w**temper for v, w in own.items() if v not in fixed}
+        goals.append({v: fixed[v] if v in fixed else (1 - sum(fixed.values())) * free[v] / sum(free.values()) for v in own})
+    weight = {c: w / total for c, w in weight.items()}
+    for _ in range(300):
+        for d, goal in enumerate(goals):
+            have = defaultdict(float)
+            for c, w in weight.items():
+                have[c[d]] += w
+            weight = {c: w * goal[c[d]] / have[c[d]] for c, w in weight.items()}
+    low, high = 0.0, 1e9  # the scale at which the expected tokens are the budget
+    for _ in range(200):
+        scale = (low + high) / 2
+        low, high = (scale, high) if sum(min(1.0, scale * weight[c] / held[c]) * held[c] for c in weight) < 0.4 * total else (low, scale)
+    draws = {r.doc_id: (r.h % 2**64 >> 11) / 2**53 for r in docs.select("doc_id", F.xxhash64(F.lit(23), "doc_id", "text").alias("h")).collect()}
+    for r in found:
+        chance = min(1.0, scale * weight[r.source, r.lang, r.topic] / held[r.source, r.lang, r.topic])
+        assert abs(r.chance - chance) < 1e-6 and r.kept == (draws[r.doc_id] < r.chance)
