@@ -6,18 +6,18 @@ A repeat is a run of `window` equal words at two places: two suffixes with such
    least hash among those of the first `window` words, their anchor. Equal windows have equal prefixes. Prefixes
    that end in one anchor are one group, so that consecutive suffixes travel as one segment of text; a group
    whose anchor occurs once in the corpus is a leaf and never moved.
-2. A group of more segments than GROUP_PLACES is reduced to its different segments. If these are still too many, its
-   suffixes are dealt by longer prefixes, of PREFIXES words, until each group fits. Suffixes that still are too
-   many after these are grouped by their first `window` words, and so are one deep node.
+2. A group of more segments than GROUP_PLACES, which the anchors tell before any text is moved, is reduced to its
+   different segments and split: its suffixes are dealt by longer prefixes, of SPLIT_WORDS words, to as many
+   parts as the group has too many segments.
 3. Each group is a subtree: its suffixes are sorted by prefix doubling, neighbours' common prefix lengths are read off
    the ranks, and its internal nodes of depth `window` or more are the repeats; all places of a node but the
-   first go.
+   first go. Parts of a split group are sorted by their first `window` words outside of memory and streamed: a run
+   of equal ones is a node, of which only the first place is held, however many there are.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 from folioscope.functions.joins import spread_join
 from folioscope.llm.common import body, cut, member, ngram_hashes, prepare, word_hashes
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 GRAM = 6
-#: Segments (under 40 words each, as a rule) of one group at most; with the ranks a group takes about 10 MB.
-GROUP_PLACES = 2_000
-#: Words of the prefixes that larger groups are split by, in turn.
-PREFIXES = (8, 12, 16)
+#: Segments (under 40 words each, as a rule) of one group at most; with the ranks a group takes about 100 MB.
+GROUP_PLACES = 20_000
+#: Words of the prefixes that larger groups are split by, and parts of one at most.
+SPLIT_WORDS, MOST_PARTS = 12, 1 << 16
+#: Copies of the segments of a large group are told from the first in so many tasks at most.
+MOST_SALTS = 64
+#: Shared anchors that are broadcast at most, the hottest. They grow with the corpus, so the rest is always shuffled.
+HOT_ANCHORS = 10_000
 #: Suffixes in one segment at most; texts that repeat themselves have longer runs, which are cut.
 SEGMENT_WINDOWS = 200
 #: Groups are sorted together until they hold so many words.
@@ -64,8 +67,13 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return least[first].view(np.int64), first, np.append(first[1:], len(least)) - 1, near.view(np.int64)
 
 
-def _digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+def words_of(text: str) -> list[bytes]:
+    """Runs of anything but blanks, tabs and line ends (20 and 09 to 0D), which is what bytes are split at."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def _joined(words: list[bytes]) -> str:
+    return b" ".join(words).decode("utf-8", "surrogatepass")
 
 
 def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
@@ -77,13 +85,13 @@ def _scan(window: int):
         for batch in batches:
             counts, digests, keys, places = [], [], [], []
             for text in batch.column(0).to_pylist():
-                words = WORD.findall(text)
+                words = words_of(text)
                 key, _, _, near = anchors(word_hashes(words), window)
                 found, times = np.unique(key, return_counts=True)
                 recurs = member(found, np.sort(near))
                 times[recurs] = np.maximum(times[recurs], 2)
                 counts.append(len(words))
-                digests.append(_digest(words))
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 keys.append(found)
                 places.append(times)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(digests), _lists(keys, pa.int64()), _lists(places, pa.int32())], [*batch.schema.names[1:], "n_words", "digest", "keys", "places"])
@@ -92,21 +100,25 @@ def _scan(window: int):
 
 
 def _segments(window: int):
-    """Of each document, the words of the windows at its shared anchors."""
+    """Of each document, the words of the windows at its shared anchors, with the parts that their groups are split into."""
 
     def run(batches):
         for batch in batches:
-            docs, texts, starts, hashes, runs = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for doc, th, text, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = WORD.findall(text)
+            docs, texts, starts, hashes, runs, parts = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            for doc, th, text, keys, split in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
                 found, first, last, _ = anchors(word_hashes(words), window)
-                at = np.flatnonzero(member(found, np.sort(np.array(keys, dtype=np.int64))))
+                keys, split = np.array(keys, dtype=np.int64), np.array(split, dtype=np.int64)
+                order = np.argsort(keys)
+                keys, split = keys[order], split[order]
+                at = np.flatnonzero(member(found, keys))
                 docs += [doc] * len(at)
                 texts += [th] * len(at)
                 starts.append(first[at])
                 hashes.append(found[at])
-                runs += [" ".join(words[a:b]) for a, b in zip(first[at].tolist(), (last[at] + window).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(runs, pa.string()), pa.array([False] * len(docs), pa.bool_())], ["key", "doc_id", "th", "start", "words", "single"])
+                parts.append(split[np.searchsorted(keys, found[at])])
+                runs += [_joined(words[a:b]) for a, b in zip(first[at].tolist(), (last[at] + window).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(runs, pa.string()), pa.array(np.concatenate(parts).astype(np.int32))], ["key", "doc_id", "th", "start", "words", "parts"])
 
     return run
 
@@ -134,12 +146,11 @@ def common_prefixes(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np
     return length
 
 
-def deep_nodes(rows: list[tuple[int, int, int, list[str], bool]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def deep_nodes(rows: list[tuple[int, int, int, list[str]]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffixes' places (doc, th, start) in the order of the tree's leaves, for each the node of depth `window` or more
     that it is of, and each such node's depth: the words that all its suffixes begin with, as far as the rows go.
 
-    rows: (doc, th, start, words, single): the suffixes are all that have `window` words, or only the first.
-    Of nested deep nodes the outermost counts; it has all their places.
+    rows: (doc, th, start, words): the suffixes are all that have `window` words. Of nested deep nodes the outermost counts; it has all their places.
     """
     number: dict[str, int] = {}
     sizes = np.array([len(r[3]) for r in rows])
@@ -152,7 +163,7 @@ def deep_nodes(rows: list[tuple[int, int, int, list[str], bool]], window: int) -
     within[ends] = False
     flat[within] = np.fromiter((number.setdefault(w, len(number)) for r in rows for w in r[3]), dtype=np.int64, count=int(sizes.sum())) + len(rows)
     ranks = doubled_ranks(flat, int(sizes.max()))
-    leaves = np.where([r[4] for r in rows], 1, sizes - window + 1)
+    leaves = sizes - window + 1
     owner = np.repeat(np.arange(len(rows)), leaves)
     inner = np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)
     at = heads[owner] + inner
@@ -185,61 +196,58 @@ def later_places(places: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def _trees(window: int):
-    """Streams rows sorted by key and builds the trees of whole key groups, TREE_WORDS words or more at a time."""
+    """Streams rows sorted by key and words, and gives the places that go.
+
+    Whole key groups are held until they have TREE_WORDS words; of single suffixes only the node that is open.
+    """
 
-    def flush(held):
+    def flush(held, later):
         rows = later_places(*deep_nodes(held, window)[:2]) if held else np.zeros((0, 4), dtype=np.int64)
+        rows = np.concatenate((rows, np.array(later, dtype=np.int64).reshape(-1, 4)))
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["doc_id", "th", "start", "n"])
 
     def run(batches):
         held, last, size = [], None, 0
+        node, first = None, None
         for batch in batches:
+            later = []
             for key, doc, th, start, words, single in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if single:
+                    place = (doc, th, start)
+                    if node != (key, words):
+                        node, first = (key, words), place
+                    elif place != first:
+                        first, place = min(first, place), max(first, place)
+                        later.append((*place, 1))
+                    continue
                 if last != key and size >= TREE_WORDS:
-                    yield flush(held)
+                    yield flush(held, [])
                     held, size = [], 0
                 last = key
-                held.append((doc, th, start, words.split(" "), single))
+                held.append((doc, th, start, words.split(" ")))
                 size += len(held[-1][3])
-        yield flush(held)
+            if later:
+                yield flush([], later)
+        yield flush(held, [])
 
     return run
 
 
-_ROW = ("key", "doc_id", "th", "start", "words", "single")
-
-
-def _split(large: DataFrame, window: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Of the segments of groups that are too large: the rows of smaller groups, and runs of windows that go."""
-    place = F.struct("doc_id", "th", "start")
-    least = cut(large.groupBy("key", "words").agg(F.min(place).alias("least"), F.count("*").alias("m")))
-    if least.isEmpty():
-        return None, None
-    words = F.split("words", " ")
-    gone = spread_join(large, least, ["key", "words"], "m").where(place > F.col("least")).select("doc_id", "th", "start", (F.size(words) - (window - 1)).alias("n"))
-    rows = least.select("key", "least.*", "words", F.lit(False).alias("single"))
-    fit, rows = _fitting(rows)
-    trees = fit.select(*_ROW)
-    if rows.isEmpty():
-        return trees, gone
-    rows = rows.withColumn("w", words).select("doc_id", "th", "start", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (window - 1))).alias("i"))
-    rows = cut(rows.select("doc_id", "th", (F.col("start") + F.col("i") - 1).cast("int").alias("start"), F.slice("w", F.col("i"), 3 * window).alias("w")).withColumn("single", F.lit(True)))
-    for n in PREFIXES:
-        if n < window:
-            fit, rows = _fitting(rows.withColumn("key", F.xxhash64(F.lit(n), F.slice("w", 1, n))))
-            trees = trees.union(fit.withColumn("words", F.array_join("w", " ")).select(*_ROW))
-    rows = rows.select("doc_id", "th", "start", F.array_join(F.slice("w", 1, window), " ").alias("key"))
-    nodes = rows.groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("m"))
-    later = spread_join(rows, nodes, ["key"], "m").where(place > F.col("least")).select("doc_id", "th", "start", F.lit(1).alias("n"))
-    return trees, gone.union(later)
-
-
-def _fitting(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of groups (by key) with GROUP_PLACES rows at most, and the others."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("group_rows"))
-    marked = spread_join(rows, sizes.withColumn("m", F.col("group_rows")), ["key"], "m")
-    fits = F.col("group_rows") <= GROUP_PLACES
-    return marked.where(fits).drop("group_rows"), marked.where(~fits).drop("group_rows")
+def _split(large: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Of the segments of groups that are too large: their different suffixes, by part, and runs of windows that go."""
+    place, words = F.struct("doc_id", "th", "start"), F.split("words", " ")
+    # two hashes stand for the words
+    alike = ["key", "h1", "h2"]
+    large = large.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(window), "words")})
+    least = large.groupBy(*alike).agg(F.min(place).alias("least"), F.count("*").alias("m"), F.first("words").alias("words"), F.first("parts").alias("parts"))
+    salts = F.least("parts", F.lit(MOST_SALTS))
+    copied = least.where("m > 1").select(*alike, "least", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    copies = large.select(*alike, place.alias("place"), F.pmod(F.xxhash64("doc_id", "th"), salts).cast("int").alias("salt"), (F.size(words) - (window - 1)).alias("n"))
+    gone = copies.join(copied, [*alike, "salt"]).where("place > least").select("place.*", "n")
+    rows = least.select("key", "least.*", "parts", words.alias("w"))
+    rows = rows.select("key", "doc_id", "th", "start", "parts", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (window - 1))).alias("i"))
+    part = F.pmod(F.xxhash64(F.slice("w", F.col("i"), min(SPLIT_WORDS, window))), F.col("parts"))
+    return rows.select(F.xxhash64("key", part).alias("key"), "doc_id", "th", (F.col("start") + F.col("i") - 1).cast("int").alias("start"), F.array_join(F.slice("w", F.col("i"), window), " ").alias("words"), F.lit(True).alias("single")), gone
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -260,18 +268,19 @@ def repeated_windows(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
     heads = one.where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.size("keys") > 0))
     # an anchor at one place is a leaf
     seen = heads.select(F.explode(F.arrays_zip("keys", "places")).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.places").alias("m"))
-    shared = seen.where("m > 1").withColumn("large", F.col("m") > GROUP_PLACES)
-    met = spread_join(heads.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", F.explode("keys").alias("key")), shared, ["key"], "m")
-    met = met.groupBy("doc_id", "th").agg(F.collect_set(F.when(~F.col("large"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("large"), F.col("key"))).alias("large"))
+    parts = F.least(F.ceil(F.col("m") / GROUP_PLACES), F.lit(MOST_PARTS)).cast("int")
+    shared = seen.where("m > 1").withColumn("parts", parts)
+    met = spread_join(heads.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", F.explode("keys").alias("key")), shared, ["key"], "m", bound=HOT_ANCHORS)
+    met = met.groupBy("doc_id", "th").agg(F.collect_set(F.when(F.col("parts") == 1, F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("parts") > 1, F.struct("key", "parts"))).alias("large"))
     whole = base.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "th", "text").repartition("doc_id", "th")
     live = whole.join(met, ["doc_id", "th"])
-    schema = "key long, doc_id long, th long, start int, words string, single boolean"
-    trees = live.where("size(keys) > 0").select("doc_id", "th", "text", "keys").mapInArrow(_segments(window), schema)
-    large = live.where("size(large) > 0").select("doc_id", "th", "text", F.col("large").alias("keys")).mapInArrow(_segments(window), schema)
+    schema = "key long, doc_id long, th long, start int, words string, parts int"
+    trees = live.where("size(keys) > 0").select("doc_id", "th", "text", "keys", F.transform("keys", lambda k: F.lit(1)).alias("parts")).mapInArrow(_segments(window), schema)
+    large = live.where("size(large) > 0").select("doc_id", "th", "text", "large.key", "large.parts").mapInArrow(_segments(window), schema)
     smaller, gone = _split(large, window)
-    trees = trees if smaller is None else trees.union(smaller)
-    found = trees.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(window), "doc_id long, th long, start int, n int")
-    gone = found if gone is None else found.union(gone)
+    trees = trees.drop("parts").withColumn("single", F.lit(False)).union(smaller)
+    found = trees.repartition("key").sortWithinPartitions("key", "words").mapInArrow(_trees(window), "doc_id long, th long, start int, n int")
+    gone = found.union(gone)
     starts = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     return one.drop("keys", "places"), whole.join(starts, ["doc_id", "th"])
 
@@ -290,9 +299,9 @@ def _kept(window: int):
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc, th, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = WORD.findall(text)
+                words = words_of(text)
                 stay = ~covered(runs, len(words), window)
-                for column, value in zip(out, (doc, th, int((~stay).sum()), " ".join(w for w, k in zip(words, stay, strict=True) if k)), strict=True):
+                for column, value in zip(out, (doc, th, int((~stay).sum()), _joined([w for w, k in zip(words, stay, strict=True) if k])), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["doc_id", "th", "n_removed", "kept"])
 

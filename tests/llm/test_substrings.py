@@ -72,10 +72,10 @@ def test_common_prefixes_are_those_of_the_suffixes():
 def test_deep_nodes_are_maximal_repeats():
     """Each node's suffixes are all that begin with its words, and it is as deep as they agree."""
     rng, window = random.Random(8), 4
-    rows = [(doc, 0, 10 * doc, [rng.choice("ab") for _ in range(rng.randint(4, 30))], False) for doc in range(12)]
-    rows += [(20, 0, 5, list("abababab"), True), (21, 0, 0, rows[0][3], False)]
+    rows = [(doc, 0, 10 * doc, [rng.choice("ab") for _ in range(rng.randint(4, 30))]) for doc in range(12)]
+    rows += [(20, 0, 5, list("abababab")), (21, 0, 0, rows[0][3])]
     places, node, depth = deep_nodes(rows, window)
-    suffixes = {(d, t, s + k): tuple(w[k:]) for d, t, s, w, single in rows for k in range(1 if single else len(w) - window + 1)}
+    suffixes = {(d, t, s + k): tuple(w[k:]) for d, t, s, w in rows for k in range(len(w) - window + 1)}
     assert len(places) == len(suffixes)
     groups = {}
     for p, n in zip(map(tuple, places.tolist()), node.tolist(), strict=True):
