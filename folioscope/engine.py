@@ -125,7 +125,7 @@ class Engine:
         grounded = extraction.ground(marked.where("not repeated"), chapters, known).where("accepted")
         scope = order.groupBy("book_id").agg(F.array_sort(F.collect_list("read_id")).alias("scope")).withColumn("scope_id", F.lit(book_id))
         resolved = settle(extraction.resolve(grounded, entities, scope))
-        facts = resolved.select("book_id", (F.col("chapter_index").cast("long") * 100_000 + F.col("seq")).alias("seq"), "entity_id", "entity_name", "chapter_index", "category", "statement", "when", "time_phrase")
+        facts = resolved.select("book_id", (F.col("chapter_index").cast("long") * (1 << 32) + F.col("seq")).alias("seq"), "entity_id", "entity_name", "chapter_index", "category", "statement", "when", "time_phrase")
         kept = lib.read("facts").where((F.col("book_id") == book_id) & (F.col("chapter_index") < point.start))
         lib.replace_books("facts", kept.unionByName(facts), [book_id])
         before = entities.count()

@@ -136,8 +136,8 @@ def entity_keys(entities: DataFrame) -> DataFrame:
 
 
 def minted_id(entity_type: Column, scope: Column, key: Column) -> Column:
-    """A stable id for a new entity: its type and eight hex digits."""
-    return F.concat(entity_type, F.lit("-"), F.substring(F.sha2(F.concat_ws("\u0001", scope, entity_type, key), 256), 1, 8))
+    """A stable id for a new entity: its type and 16 hex digits, so that a billion collide with a chance of 3 %."""
+    return F.concat(entity_type, F.lit("-"), F.substring(F.sha2(F.concat_ws("\u0001", scope, entity_type, key), 256), 1, 16))
 
 
 def resolve(facts: DataFrame, entities: DataFrame, scopes: DataFrame) -> DataFrame:

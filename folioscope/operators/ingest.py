@@ -143,6 +143,7 @@ def report_lines(chapters: DataFrame, raw_counts: DataFrame | None = None) -> Da
     return rows.select("book_id", F.array_join(lines, "\n").alias("report"))
 
 
+# How a volume is numbered and labelled.
 _ORDINAL = r"(?:\d{1,3}|[ivxlIVXL]{1,6}|" + "|".join(NUMBER_WORDS) + ")"
 VOLUME_LABEL = r"(?i)^\s*(?:book|volume|vol\.?|part)\s+" + _ORDINAL + r"\b\s*[:.–—-]?\s*"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.schemas import AUTOLINK_RATIO, CONJUNCTIONS, DETERMINERS, MAX_DETERMINER_SHARE, MIN_BARE, MIN_DECORATED, MIN_LOWERCASE, MIN_SPEECH_SIGHTINGS, PERSON_SPEECH_VERBS, PROPOSE_RATIO
 
+# Fixed value: what counts as a run of capitalised words.
 RUN = r"([A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){0,4})"
 
 
@@ -37,11 +38,11 @@ def residues(names: DataFrame, runs: DataFrame, lowercase: DataFrame, ratio: flo
     wins, of equals the longest. A conjunction after the first word makes no decorated name.
     """
     tokens = T.words("name")
-    spoilt = F.exists(F.slice(tokens, 2, 99), lambda t: F.lower(F.regexp_replace(t, "^[.,]+|[.,]+$", "")).isin(*CONJUNCTIONS))
+    spoilt = F.exists(F.slice(tokens, F.lit(2), F.size(tokens)), lambda t: F.lower(F.regexp_replace(t, "^[.,]+|[.,]+$", "")).isin(*CONJUNCTIONS))
     rows = names.select("book_id", "name").distinct().withColumn("tokens", tokens).where((F.size("tokens") >= 2) & ~spoilt)
     rows = rows.withColumn("whole", F.array_join("tokens", " ")).join(runs.select("book_id", F.col("run").alias("whole"), F.col("n").alias("decorated")), ["book_id", "whole"])
     rows = rows.where(F.col("decorated") >= MIN_DECORATED)
-    ends = F.transform(F.sequence(F.lit(2), F.size("tokens")), lambda k: F.array_join(F.slice(F.col("tokens"), k, 99), " "))
+    ends = F.transform(F.sequence(F.lit(2), F.size("tokens")), lambda k: F.array_join(F.slice(F.col("tokens"), k, F.size("tokens")), " "))
     rows = rows.select("book_id", "name", "decorated", F.posexplode(ends).alias("k", "residue"))
     rows = rows.join(runs.select("book_id", F.col("run").alias("residue"), F.col("n").alias("sightings")), ["book_id", "residue"]).where((F.col("sightings") >= MIN_BARE) & (F.col("sightings") >= F.col("decorated") * ratio))
     rows = rows.withColumn("low", F.lower("residue")).join(lowercase.select("book_id", F.col("word").alias("low"), F.col("n").alias("low_n")), ["book_id", "low"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.lineage import settle
 from folioscope.schemas import MAX_QUOTE, MIN_PASSAGE_SCORE, PAIR_PENALTY, PASSAGE_STOPWORDS, UNSEEN_IDF
 
 _ENDS = ".!?\"'”’"
@@ -16,6 +17,7 @@ def sentences(chapters: DataFrame) -> DataFrame:
 
     White space after a full stop, mark or closing quote divides, and so do two line feeds or more.
     """
+    # fixed value: where sentences end
     marked = F.regexp_replace("text", r"(?U)(?<=[.!?\"'”’])\s+|\n{2,}", "\u0001$0\u0002")
     pieces = F.transform(F.split(marked, "\u0001"), lambda p: F.split(p, "\u0002"))
     # a piece after the first is (gap, sentence)
@@ -50,27 +52,33 @@ def passages(statements: DataFrame, chapters: DataFrame) -> DataFrame:
     score is the weight of the statement's words that the candidate has over that of all of them. Sums run
     in the order of the words. The earliest best wins, a single sentence before a pair, from 0.40 on.
 
-    Statements meet only sentences that share a word with them: the join is on chapter and word.
+    The lightest words of a statement, so many that together they are below that bound, can't make a passage.
+    So statements meet only sentences that have another of their words: the join is on chapter and word.
     """
     key = ["book_id", "chapter_index"]
     used = statements.select(*key).distinct()
     names = chapters.join(used.select("book_id", F.col("chapter_index").alias("index")), ["book_id", "index"], "left_semi")
     learnt = learnt_names(names)
-    spans = sentences(names)
-    words = spans.join(learnt, key, "left").select(*key, "i", F.explode(T.passage_words("sentence", F.col("learnt"))).alias("word"))
+    spans = sentences(names).join(learnt, key, "left")
+    spans = settle(spans.select(*key, "i", "start", "end", F.array_distinct(T.passage_words("sentence", F.col("learnt"))).alias("words")))
+    words = spans.select(*key, "i", F.explode("words").alias("word"))
     idf = words.groupBy(*key, "word").agg((1 / F.count("*")).alias("idf"))
     wanted = statements.join(learnt, key, "left").select("statement_id", *key, F.explode(T.passage_words("statement", F.col("learnt"))).alias("word"))
-    wanted = wanted.join(idf, [*key, "word"], "left").withColumn("weight", F.coalesce("idf", F.lit(UNSEEN_IDF)))
-    add = lambda c: F.aggregate(F.array_sort(c), F.lit(0.0), lambda total, x: total + x["weight"])
-    weighed = F.struct("word", "weight")
-    total = wanted.groupBy("statement_id").agg(add(F.collect_list(weighed)).alias("total"))
+    wanted = settle(wanted.join(idf, [*key, "word"], "left").withColumn("weight", F.coalesce("idf", F.lit(UNSEEN_IDF))))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x["weight"])
+    weighed = F.array_sort(F.collect_list(F.struct("word", "weight")))
+    all_ = wanted.groupBy("statement_id").agg(weighed.alias("wanted")).withColumn("total", add("wanted"))
+    rising = Window.partitionBy("statement_id").orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    telling = wanted.withColumn("sofar", F.sum("weight").over(rising)).withColumn("total", F.sum("weight").over(Window.partitionBy("statement_id")))
+    telling = telling.where(F.col("sofar") >= F.col("total") * (MIN_PASSAGE_SCORE - 1e-6)).where("idf is not null")
     # a word in sentence i counts for i alone, for i and the next, and for the one before and i
     places = F.array(F.struct(F.col("i"), F.lit(0).alias("pair")), F.struct(F.col("i"), F.lit(1).alias("pair")), F.struct((F.col("i") - 1).alias("i"), F.lit(1).alias("pair")))
-    met = wanted.join(words, [*key, "word"]).select("statement_id", *key, "word", "weight", F.explode(places).alias("at"))
-    shared = met.groupBy("statement_id", *key, "at.i", "at.pair").agg(add(F.collect_set(weighed)).alias("shared"))
-    last = spans.groupBy(*key).agg(F.max("i").alias("last"))
-    shared = shared.join(last, key).where((F.col("pair") == 0) | ((F.col("i") >= 0) & (F.col("i") < F.col("last"))))
-    scored = shared.join(total, "statement_id").withColumn("score", F.col("shared") / F.col("total") * F.when(F.col("pair") == 1, PAIR_PENALTY).otherwise(1.0))
+    met = telling.join(words, [*key, "word"]).select("statement_id", *key, F.explode(places).alias("at")).select("statement_id", *key, "at.i", "at.pair").distinct()
+    own = spans.select(*key, "i", F.col("words").alias("own"))
+    met = met.join(own, [*key, "i"]).join(spans.select(*key, (F.col("i") - 1).alias("i"), F.col("words").alias("next")), [*key, "i"], "left")
+    met = met.where((F.col("pair") == 0) | F.col("next").isNotNull()).join(all_, "statement_id")
+    has = lambda x: F.array_contains("own", x["word"]) | ((F.col("pair") == 1) & F.array_contains("next", x["word"]))
+    scored = met.withColumn("score", add(F.filter("wanted", has)) / F.col("total") * F.when(F.col("pair") == 1, PAIR_PENALTY).otherwise(1.0))
     best = F.max_by(F.struct("i", "pair", "score"), F.struct(F.round("score", 12), -F.col("i"), -F.col("pair")))
     found = scored.groupBy("statement_id", *key).agg(best.alias("b")).where(F.col("b.score") >= MIN_PASSAGE_SCORE)
     ends = spans.select(*key, F.col("i").alias("i"), "start", "end")

@@ -29,9 +29,10 @@ def near_duplicate_pairs(facts: DataFrame, by: list[str]) -> DataFrame:
     df = words.groupBy(*by, "word").agg(F.count("*").alias("df"))
     ordered = words.join(df, [*by, "word"]).groupBy(*by, "seq", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("w"))
     prefix = F.slice("w", 1, (F.col("n") - F.ceil(F.col("n") * NEAR_DUPLICATE - 1e-9) + 1).cast("int"))
-    at = ordered.select(*by, "seq", "w", F.explode(prefix).alias("word"))
-    a, b = at.select(*by, "word", F.col("seq").alias("a"), F.col("w").alias("aw")), at.select(*by, "word", F.col("seq").alias("b"), F.col("w").alias("bw"))
-    met = a.join(b, [*by, "word"]).where("a < b").select(*by, "a", "b", "aw", "bw").distinct()
+    at = ordered.select(*by, "seq", F.explode(prefix).alias("word"))
+    a, b = at.select(*by, "word", F.col("seq").alias("a")), at.select(*by, "word", F.col("seq").alias("b"))
+    met = a.join(b, [*by, "word"]).where("a < b").select(*by, "a", "b").distinct()  # ids alone, then their words
+    met = met.join(rows.select(*by, F.col("seq").alias("a"), F.col("w").alias("aw")), [*by, "a"]).join(rows.select(*by, F.col("seq").alias("b"), F.col("w").alias("bw")), [*by, "b"])
     shared = F.size(F.array_intersect("aw", "bw"))
     return met.where(shared / (F.size("aw") + F.size("bw") - shared) >= NEAR_DUPLICATE).select(*by, "a", "b")
 

@@ -79,7 +79,7 @@ def fake_facts(spark, sf):
 )
 def facts_dedup(spark, sf):
     """Chapters whose numbers end alike are taken as one, as if their texts were."""
-    rows = D.extracted(spark, sf).withColumn("seq", F.col("chapter_index") * 100_000 + F.col("seq")).withColumn("chapter_index", F.col("chapter_index") % 10)
+    rows = D.extracted(spark, sf).withColumn("seq", F.col("chapter_index").cast("long") * 1_000_000_000 + F.col("seq")).withColumn("chapter_index", F.col("chapter_index") % 10)
     return extraction.drop_repeats(rows).groupBy("book_id").agg(F.count("*").alias("facts"), F.count_if("repeated").alias("repeated"))
 
 
@@ -159,17 +159,6 @@ def facts_named(spark, sf):
     return reading.with_names(_visible(spark, sf), D.entities(spark, sf)).groupBy("entity_id", "name").agg(F.count("*").alias("facts")).select("name", "facts")
 
 
-@query(
-    "events_as_of",
-    """SELECT e.user_id, count(*) AS events, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-01' + INTERVAL 30 DAY) AS early
-    FROM events e GROUP BY e.user_id""",
-)
-def events_as_of(spark, sf):
-    """The as-of filter on a time axis: what was known of each user on a day."""
-    rows = D.table(spark, sf, "events")
-    return rows.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(F.col("ts") < F.expr("TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 30 DAYS")).alias("early"))
-
-
 # relevance and context
 
 
@@ -229,7 +218,7 @@ def context_buckets(spark, sf):
 
 _CONTEXT = (
     """lines AS (SELECT *, CASE WHEN "when" = 'past' THEN 0 WHEN "when" = 'future' THEN 2 WHEN category IN ('status', 'development', 'relationship') THEN 1 ELSE 3 END AS bucket,
-      book_rank * 1000000000000 + seq AS r FROM visible),
+      book_rank * 100000000000000000 + seq AS r FROM visible),
     told AS (SELECT *, CASE WHEN bucket = 3 THEN category ELSE '' END AS kind, CASE WHEN bucket < 3 THEN '    [ch ' || chapter_index || coalesce(' - ' || time_phrase, '') || '] (' || category || ') ' || statement
       ELSE '      [ch ' || chapter_index || '] ' || statement END AS line FROM lines),
     kinds AS (SELECT entity_id, bucket, kind, min(r) AS kr, string_agg(line, chr(10) ORDER BY chapter_index, r) AS part FROM told GROUP BY ALL),

@@ -67,7 +67,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # facts of every third chapter are of the past, of every fifth of the future, categories go round
     when = F.when(F.col("chapter_index") % 3 == 2, "past").when(F.col("chapter_index") % 5 == 4, "future").otherwise("present")
     category = F.element_at(F.array(*map(F.lit, ("status", "appearance", "development", "personality"))), (F.col("seq") % 4 + 1).cast("int"))
-    return rows.select("book_id", (F.col("chapter_index") * 100_000 + F.col("seq")).alias("seq"), "entity_id", "entity_name", "chapter_index", category.alias("category"), "statement", when.alias("when"), F.when(F.col("seq") % 6 == 0, F.concat(F.lit("day "), "seq")).alias("time_phrase"))
+    return rows.select("book_id", (F.col("chapter_index").cast("long") * 1_000_000_000 + F.col("seq")).alias("seq"), "entity_id", "entity_name", "chapter_index", category.alias("category"), "statement", when.alias("when"), F.when(F.col("seq") % 6 == 0, F.concat(F.lit("day "), "seq")).alias("time_phrase"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +93,8 @@ SQL = {
           FROM (SELECT *, regexp_extract_all(regexp_replace(sentence, '[À-ÖØ-öø-ÿ]', '_', 'g'), '\b([A-Z][a-z]+)\b', 1) AS ns FROM parts))
         WHERE name NOT IN ('The', 'A', 'An', 'I', 'He', 'She', 'They', 'It', 'We', 'You')
         QUALIFY row_number() OVER (PARTITION BY book_id, chapter_index, name ORDER BY s, t) = 1))""",
-    "facts": r"""facts AS (SELECT e.book_id, chapter_index * 100000 + seq AS seq, seq AS own_seq, entity_name, chapter_index, statement,
-        'character-' || substr(sha256(series || chr(1) || 'character' || chr(1) || key), 1, 8) AS entity_id,
+    "facts": r"""facts AS (SELECT e.book_id, chapter_index::BIGINT * 1000000000 + seq AS seq, seq AS own_seq, entity_name, chapter_index, statement,
+        'character-' || substr(sha256(series || chr(1) || 'character' || chr(1) || key), 1, 16) AS entity_id,
         list_extract(['status', 'appearance', 'development', 'personality'], seq % 4 + 1) AS category,
         CASE WHEN chapter_index % 3 = 2 THEN 'past' WHEN chapter_index % 5 = 4 THEN 'future' ELSE 'present' END AS "when",
         CASE WHEN seq % 6 = 0 THEN 'day ' || seq END AS time_phrase, ord AS book_ord

@@ -39,6 +39,12 @@ def test_query_equals_its_sql(spark, duck, name):
     assert [tuple(map(str, r)) for r in ours[1]] == [tuple(map(str, r)) for r in theirs[1]]
 
 
+#: The driver's tables have no first-person chapters with two names, and no decorated names, often enough.
+EMPTY = {"name_variant_clusters", "narrator_aliases", "person_links"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_gives_the_same_rows_twice(spark, name):
+    frames = [QUERIES[name](spark, SF) for _ in range(2)]
+    first, second = (rows_of(f.toPandas()) for f in frames)
+    assert first == second and bool(first[1]) == (name not in EMPTY)
