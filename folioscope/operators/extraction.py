@@ -51,6 +51,12 @@ def normal_entity_type(value: Column, content_type: str = "fiction") -> Column:
     return found
 
 
+def _bound(rows: DataFrame, keys: list[str], *columns) -> DataFrame:
+    """The keys and columns, computed here once: an explode of one row keeps the optimizer from writing the expressions
+    into all that use them, which would outgrow a generated method."""
+    return rows.select(*keys, F.explode(F.array(F.struct(*columns))).alias("bound")).select(*keys, "bound.*")
+
+
 def parse_responses(responses: DataFrame, content_type: str = "fiction", raw: str = "raw") -> DataFrame:
     """(response_id, ok, facts): what each extractor response says.
 
@@ -63,7 +69,8 @@ def parse_responses(responses: DataFrame, content_type: str = "fiction", raw: st
     unfenced = F.regexp_replace(bare, "^`+|`+$", "")
     unfenced = T.strip(F.when(F.startswith(unfenced, F.lit("json")), F.substr(unfenced, F.lit(5))).otherwise(unfenced))
     rows = responses.select("response_id", F.when(F.startswith(bare, F.lit("```")), unfenced).otherwise(bare).alias("json"))
-    rows = rows.withColumn("v", F.try_parse_json("json")).withColumn("kind", F.schema_of_variant("v"))
+    rows = _bound(rows, ["response_id"], F.try_parse_json("json").alias("v"))
+    rows = rows.withColumn("kind", F.schema_of_variant("v"))
     is_list = lambda v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY<"))
     items = lambda v: F.try_variant_get(v, "$", "array<variant>")
     unwrapped = F.coalesce(*(F.when(is_list(F.try_variant_get("v", f"$.{k}", "variant")), items(F.try_variant_get("v", f"$.{k}", "variant"))) for k in LIST_KEYS))
@@ -76,13 +83,16 @@ def parse_responses(responses: DataFrame, content_type: str = "fiction", raw: st
     required = F.lit(True)
     for name in ("entity_name", "entity_type", "category", "statement"):
         required = required & F.try_variant_get("x", f"$.{name}", "variant").isNotNull()
-    parts = parts.select("response_id", "seq", F.coalesce(required & text, F.lit(False)).alias("whole"), get("entity_name").alias("entity_name"), get("entity_type").alias("entity_type"), get("category").alias("category"), get("statement").alias("statement"), get("when").alias("when"), get("time_phrase").alias("time_phrase"))
+    fields = ("entity_name", "entity_type", "category", "statement", "when", "time_phrase")
+    parts = _bound(parts.select("response_id", "seq", "x"), ["response_id", "seq"], F.coalesce(required & text, F.lit(False)).alias("whole"), *(get(name).alias(name) for name in fields))
     dropped = F.length("statement") > MAX_STATEMENT
     for word in SUSPICIOUS:
         dropped = dropped | F.contains("statement", F.lit(word))
-    kind = normal_entity_type(F.col("entity_type"), content_type)
-    parts = parts.withColumn("dropped", F.col("whole") & dropped).withColumn("bad", ~F.col("whole") | (~F.col("dropped") & kind.isNull()))
-    fact = F.struct("seq", "entity_name", kind.alias("entity_type"), normal_category(F.col("category"), content_type).alias("category"), "statement", F.when(F.col("when").isNull(), "present").otherwise(normal_when(F.col("when"))).alias("when"), normal_time_phrase(F.col("time_phrase")).alias("time_phrase"))
+    kind, when = normal_entity_type(F.col("entity_type"), content_type), F.when(F.col("when").isNull(), "present").otherwise(normal_when(F.col("when")))
+    normal = (kind.alias("entity_type"), normal_category(F.col("category"), content_type).alias("category"), when.alias("when"), normal_time_phrase(F.col("time_phrase")).alias("time_phrase"))
+    parts = _bound(parts, ["response_id", "seq"], "whole", (F.col("whole") & dropped).alias("dropped"), "entity_name", "statement", *normal)
+    parts = parts.withColumn("bad", ~F.col("whole") | (~F.col("dropped") & F.col("entity_type").isNull()))
+    fact = F.struct("seq", "entity_name", "entity_type", "category", "statement", "when", "time_phrase")
     found = parts.groupBy("response_id").agg(F.bool_or("bad").alias("bad"), F.array_sort(F.collect_list(F.when(~F.col("bad") & ~F.col("dropped"), fact))).alias("facts"))
     rows = rows.join(found, "response_id", "left")
     ok = F.col("items").isNotNull() & ~F.coalesce("bad", F.lit(False))
