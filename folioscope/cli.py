@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from folioscope.engine import Engine
 from folioscope.functions.config import env_text, incoming_root, library_root
 from folioscope.operators import providers
+from folioscope.streaming.extraction import format_duration
 
 
 class Tee:
@@ -78,14 +79,18 @@ def run(args: argparse.Namespace, engine: Engine, say=print, ask=input) -> int:
         say(book_id, *notes, sep="\n")
         clean_up(args.path)
     elif args.command == "extract":
+
+        def told(done: int, total: int, left: float | None) -> None:
+            say(f"{done} of {total} chapters" + (f", about {format_duration(left)} left" if left else ""))
+
         if args.log is not None:
             log = args.log or str(Path(tempfile.gettempdir()) / f"extract_{args.book_id}.log")
             say(f"log: {log}")
             with open(log, "a", encoding="utf-8") as handle:
                 tee = Tee(sys.stdout, handle)
-                print(engine.extract(args.book_id, make_provider(args.provider, args.model, args.url), args.restart), file=tee)
+                print(engine.extract(args.book_id, make_provider(args.provider, args.model, args.url), args.restart, progress=told), file=tee)
         else:
-            say(engine.extract(args.book_id, make_provider(args.provider, args.model, args.url), args.restart))
+            say(engine.extract(args.book_id, make_provider(args.provider, args.model, args.url), args.restart, progress=told))
     elif args.command == "eval":
         models = args.models.split(",") if args.models else [args.model]
         made = {f"{n}:{m}" if m else n: make_provider(n, m, args.url) for n in args.providers.split(",") for m in models}

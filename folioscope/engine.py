@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from folioscope.operators import context, extraction, ingest, names, passages, p
 from folioscope.schemas import BOOKS, CHECKPOINTS
 from folioscope.sources import epub, pages
 from folioscope.sources.library import Library, unique_book_id
+from folioscope.streaming.extraction import eta_seconds
 
 
 class Engine:
@@ -93,12 +95,15 @@ class Engine:
 
     # extraction
 
-    def extract(self, book_id: str, provider: providers.Provider, restart: bool = False) -> dict:
-        """Extracts the chapters that are still to do, resolves names over the series, and stores facts, registry and checkpoint, in this order.
+    def extract(self, book_id: str, provider: providers.Provider, restart: bool = False, batch: int = 32, progress=None) -> dict:
+        """Extracts the chapters that are still to do, `batch` of them at a time in the book's order.
 
-        A book's facts are replaced from the first chapter to do on, so a run that was cut short can be repeated.
+        Each batch stores its facts, then the registry, then the checkpoint, so that a run that was cut short goes
+        on at the batch it was in and doubles nothing. The names that a batch accepts are known to the next, as
+        are those of the series' registry. progress, if given, is called with (chapters done, chapters in all,
+        seconds left or None) after each.
         """
-        book, lib = self.book(book_id), self.library
+        book, lib, began = self.book(book_id), self.library, time.monotonic()
         chapters = self.chapters(book_id)
         identity = providers.optional(provider, "identity")
         point = extraction.resume_index(lib.read("checkpoints").where(F.col("book_id") == book_id), chapters, restart).first()
@@ -117,25 +122,38 @@ class Engine:
         order = reading.reading_order(lib.read("index")).where(F.col("book_id") == book_id)
         if order.isEmpty():
             order = self.spark.createDataFrame([(book_id, book_id, 1)], "book_id string, read_id string, book_rank int")
+        order, before = settle(order), entities.count()
+        tally = dict.fromkeys(("facts", "skipped", "repeated", "ungrounded", "parse_failures"), 0)
+        for start in range(point.start, total, batch):
+            end = min(start + batch, total)
+            entities, counts = self._extract_batch(book, provider, entities, order, chapters.where(F.col("index").between(start, end - 1)), start, point.start)
+            tally = {k: n + counts[k] for k, n in tally.items()}
+            lib.replace_books("checkpoints", self.spark.createDataFrame([(book_id, total, end, identity)], CHECKPOINTS), [book_id])
+            if progress is not None:
+                progress(end, total, eta_seconds(time.monotonic() - began, end - point.start, total - end))
+        return {"already_complete": False, "chapters": total, "resumed_from": point.start or None, "new_entities": entities.count() - before, **tally}
+
+    def _extract_batch(self, book, provider: providers.Provider, entities: DataFrame, order: DataFrame, chapters: DataFrame, start: int, run_start: int) -> tuple[DataFrame, dict]:
+        """(registry, counts) after the chapters, whose facts and registry are stored."""
+        lib, here = self.library, F.col("book_id") == book.book_id
+        stored = lib.read("facts").where(here & (F.col("chapter_index") < start))
+        told = stored.where(F.col("chapter_index") >= run_start).select("book_id", "entity_name", F.lit(None).cast("string").alias("entity_type"))
         known = extraction.known_names(entities, order)
-        todo = ingest.narrative(chapters.where(F.col("index") >= point.start))
+        known = settle(known.unionByName(told).groupBy("book_id", "entity_name").agg(F.max("entity_type").alias("entity_type")))
+        todo = ingest.narrative(chapters)
         found, runs = providers.extract(todo.where("not skipped"), provider, book.content_type, known)
         found, runs = settle(found), settle(runs)
         marked = extraction.drop_repeats(found)
         grounded = extraction.ground(marked.where("not repeated"), chapters, known).where("accepted")
-        scope = order.groupBy("book_id").agg(F.array_sort(F.collect_list("read_id")).alias("scope")).withColumn("scope_id", F.lit(book_id))
+        scope = order.groupBy("book_id").agg(F.array_sort(F.collect_list("read_id")).alias("scope")).withColumn("scope_id", F.lit(book.book_id))
         resolved = settle(extraction.resolve(grounded, entities, scope))
         facts = resolved.select("book_id", (F.col("chapter_index").cast("long") * (1 << 32) + F.col("seq")).alias("seq"), "entity_id", "entity_name", "chapter_index", "category", "statement", "when", "time_phrase")
-        kept = lib.read("facts").where((F.col("book_id") == book_id) & (F.col("chapter_index") < point.start))
-        lib.replace_books("facts", kept.unionByName(facts), [book_id])
-        before = entities.count()
-        registry_now = settle(extraction.registry_after(resolved, entities))
-        lib.write("entities", registry_now)
-        lib.replace_books("checkpoints", self.spark.createDataFrame([(book_id, total, total, identity)], CHECKPOINTS), [book_id])
-        n_found = found.count()
-        return {
-            "already_complete": False, "chapters": total, "resumed_from": point.start or None, "facts": facts.count(), "new_entities": registry_now.count() - before,
-            "skipped": todo.where("skipped").count(), "repeated": marked.where("repeated").count(), "ungrounded": n_found - marked.where("repeated").count() - facts.count(), "parse_failures": runs.where("not ok").count(),
+        lib.replace_books("facts", stored.unionByName(facts), [book.book_id])
+        entities = settle(extraction.registry_after(resolved, entities))
+        lib.write("entities", entities)
+        n_found, n_facts, n_repeated = found.count(), facts.count(), marked.where("repeated").count()
+        return entities, {
+            "facts": n_facts, "skipped": todo.where("skipped").count(), "repeated": n_repeated, "ungrounded": n_found - n_repeated - n_facts, "parse_failures": runs.where("not ok").count(),
         }
 
     # questions

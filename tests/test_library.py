@@ -1,6 +1,7 @@
 """Sources, storage, streams and the commands, from files to answers."""
 
 import json
+import re
 import zipfile
 
 import pytest
@@ -171,3 +172,58 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("FOLIO_X", "7x")
     with pytest.raises(ValueError, match="FOLIO_X"):
         env_number("FOLIO_X")
+
+
+def notes(fails_at: str | None = None):
+    """A provider that states each capitalised word, and in `when` whether it was told the word; it fails at a chapter with
+    `fails_at` in it. A class of its own here, so that workers needn't import this module."""
+
+    class Notes:
+        def identity(self) -> str:
+            return "notes"
+
+        def respond(self, chapter, known=(), content_type="fiction"):
+            if fails_at and fails_at in chapter:
+                raise RuntimeError("no reply")
+            told = {name for name, _ in known}
+            words = dict.fromkeys(re.findall(r"\b[A-Z][a-z]+\b", chapter))
+            return json.dumps([{"entity_name": w, "entity_type": "character", "category": "status", "statement": f"{w} is here.", "when": "past" if w in told else "present"} for w in words])
+
+        def answer(self, question, context, content_type="fiction"):
+            return ""
+
+    return Notes()
+
+
+def facts_of(engine):
+    return sorted((r.chapter_index, r.seq, r.entity_id, r.entity_name, r.when) for r in engine.library.read("facts").collect())
+
+
+def test_extraction_by_batches(spark, tmp_path):
+    """Interrupted after some chapters a run goes on there and ends as one that wasn't; later batches are told earlier names."""
+    filler = " and so it went on and on in the same way as it had been before that day" * 2
+    texts = [f"Maren met {name} by the sea{filler}." for name in ("Odo", "Pia", "Quen", "Rolf", "Sten")]
+    texts.insert(2, "too short")
+    chapters = spark.createDataFrame([(k, None, t, None) for k, t in enumerate(texts)], "index int, title string, text string, pages array<int>")
+    engines = []
+    for name in ("whole", "cut"):
+        engine = Engine(spark, f"{tmp_path}/{name}")
+        engine.ingest(chapters, "Shore", auto_link=False)
+        engine.library.write("chapters", chapters.selectExpr("'shore' AS book_id", "*"))  # as they are: not consolidated
+        book = engine.library.read("books").collect()[0]
+        engine.library.write("books", spark.createDataFrame([book[:7] + (len(texts),) + book[8:]], engine.library.read("books").schema))
+        engines.append(engine)
+    whole, cut = engines
+    seen = []
+    result = whole.extract("shore", notes(), batch=2, progress=lambda *x: seen.append(x[:2]))
+    assert seen == [(2, 6), (4, 6), (6, 6)] and (result["facts"], result["skipped"], result["new_entities"]) == (10, 1, 6)
+    whens = {(r[0], r[3]): r[4] for r in facts_of(whole)}
+    assert whens[0, "Maren"] == whens[1, "Maren"] == "present" and whens[3, "Maren"] == whens[5, "Maren"] == "past"
+    with pytest.raises(Exception, match="no reply"):
+        cut.extract("shore", notes("Rolf"), batch=2)
+    assert [tuple(r) for r in cut.library.read("checkpoints").collect()] == [("shore", 6, 4, "notes")]
+    assert facts_of(cut) == [f for f in facts_of(whole) if f[0] < 4]
+    assert cut.extract("shore", notes(), batch=2)["resumed_from"] == 4
+    assert facts_of(cut) == facts_of(whole) and cut.extract("shore", notes())["already_complete"]
+    key = lambda e: sorted((r.entity_id, r.canonical_name, tuple(r.book_ids), r.ord) for r in e.library.read("entities").collect())
+    assert key(cut) == key(whole) and len(key(cut)) == 6
