@@ -22,13 +22,17 @@ def reading_order(index: DataFrame) -> DataFrame:
 def facts_as_of(facts: DataFrame, index: DataFrame, book_id: str, chapter_index: int) -> DataFrame:
     """Facts visible at a chapter of a book: earlier books of the series whole, the book itself up to the chapter.
 
-    Adds book_rank. One scan, of the named books and with the bound on the chapter, so partitions are pruned and
-    the filter reaches the files. A book that the index lacks is read alone.
+    Adds book_rank. Two scans however long the series is: of the earlier books, and of the book itself with the
+    bound on the chapter, so partitions are pruned and the bound reaches the files. A book that the index lacks
+    is read alone.
     """
     order = {r.read_id: r.book_rank for r in reading_order(index).where(F.col("book_id") == book_id).collect()} or {book_id: 1}
-    ranks = F.create_map(*(F.lit(x) for pair in sorted(order.items()) for x in pair))
-    seen = F.col("book_id").isin(*sorted(order)) & ((F.col("book_id") != book_id) | (F.col("chapter_index") <= chapter_index))
-    return with_defaults(facts.where(seen).withColumn("book_rank", ranks[F.col("book_id")]))
+    own = order.pop(book_id)
+    seen = facts.where((F.col("book_id") == book_id) & (F.col("chapter_index") <= chapter_index)).withColumn("book_rank", F.lit(own))
+    if order:
+        ranks = F.create_map(*(F.lit(x) for pair in sorted(order.items()) for x in pair))
+        seen = seen.union(facts.where(F.col("book_id").isin(*sorted(order))).withColumn("book_rank", ranks[F.col("book_id")]))
+    return with_defaults(seen)
 
 
 def with_defaults(facts: DataFrame) -> DataFrame:
