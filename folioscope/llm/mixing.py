@@ -17,9 +17,10 @@ DIMENSIONS = ("source", "lang", "topic")
 DRIVER_CELLS = 200_000
 #: Raking stops after the first round that finds every marginal within TOLERANCE of its target, or after ROUNDS.
 ROUNDS, TOLERANCE = 200, 1e-9
-#: Topics, dimensions of the hashed words that they are told apart by, and documents that they are fitted on at most:
-#: those whose ids have the least seeded hashes.
-TOPICS, DIMS, FIT_ROWS = 6, 8, 5_000
+#: Topics, and dimensions of the hashed words that they are told apart by.
+TOPICS, DIMS = 6, 8
+#: Points are summed in units of 1 / UNIT, so that sums don't depend on the rows' order; 2**33 rows fit.
+UNIT = 1 << 30
 #: Tokens by characters, by bytes beyond one a character and by words. Fitted on a third of 10,000 documents in four
 #: languages against a byte-pair vocabulary of 50,000. On another third it is off by 2.7 % of the tokens by document
 #: and by 1.3 % by source and language; a whole language by 4.5 % at most.
@@ -56,46 +57,101 @@ def word_classes(text: str = "text") -> Column:
     return F.transform(F.array(codes), lambda c: F.array(*(F.size(c) - F.size(F.array_remove(c, F.lit(k))) for k in range(DIMS))))[0]
 
 
-def centroid_weights(counts: np.ndarray, topics: int = TOPICS, seed: int = 31, rounds: int = 30) -> np.ndarray:
-    """Spherical k-means on class shares, around their mean: a row of weights for each topic.
+def class_shares(counts: np.ndarray) -> np.ndarray:
+    """Of each row of counts the shares of its classes; rows of none are left out."""
+    counts = counts[counts.sum(axis=1) > 0].astype(float)
+    return counts / counts.sum(axis=1, keepdims=True)
+
+
+def directions(shares: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    points = shares - mean
+    return points / np.maximum(np.sqrt((points**2).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def products(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """points @ centers.T, added up in one order however many points come at a time."""
+    total = np.zeros((len(points), len(centers)))
+    for d in range(points.shape[1]):
+        total += points[:, d, None] * centers[:, d]
+    return total
+
+
+def _sums(blocks: DataFrame, of) -> np.ndarray:
+    """Sum of the arrays of whole numbers that `of` makes of the blocks of counts; added by task, then on the driver."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            for block in batch.column(0):
+                part = of(np.frombuffer(block.as_buffer(), dtype=np.int32).reshape(-1, DIMS))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.int64()))], ["sums"])
+
+    found = [r.sums for r in blocks.mapInArrow(run, "sums array<long>").collect()]
+    return np.array(found, dtype=np.int64).sum(axis=0) if found else np.zeros(0, np.int64)
+
+
+def _packed(batches):
+    for batch in batches:
+        if batch.num_rows:
+            counts = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["block"])
 
-    The topic of a text is the row with the largest product with its counts: the centroid in the direction nearest
-    to its own. Texts without words don't count; without any there are no rows.
+
+def centroid_weights(counts: DataFrame, topics: int = TOPICS, seed: int = 31, rounds: int = 30) -> np.ndarray:
+    """Spherical k-means on class shares, around their mean, over all rows: a row of weights for each topic.
+
+    counts has the counts of word_classes as its only column. The topic of a text is the row with the largest
+    product with its counts: the centroid in the direction nearest to its own. Texts without words don't count;
+    without any there are no rows. Each round is one pass over blocks of counts, of which a task sends its sums
+    alone; it ends after `rounds`, or once the centroids stay. Sums are of whole numbers: the order of the rows
+    or their partitions makes no difference.
     """
-    counts = counts[counts.sum(axis=1) > 0].astype(float)
-    counts = counts[np.lexsort(counts.T)]
-    if not len(counts):
+    spark = prepare(counts.sparkSession)
+    blocks = cut(counts.mapInArrow(_packed, "block binary")).coalesce(max(spark.sparkContext.defaultParallelism, 1))
+    found = _sums(blocks, lambda n: np.append(np.rint(class_shares(n) * UNIT).astype(np.int64).sum(axis=0), np.count_nonzero(n.sum(axis=1))))
+    if not found.any():
         return np.zeros((0, DIMS))
-    shares = counts / counts.sum(axis=1, keepdims=True)
-    mean = shares.mean(axis=0)
-    points = shares - mean
-    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
+    mean = found[:-1] / found[-1] / UNIT
     centers = np.random.default_rng(seed).normal(size=(topics, DIMS))
     centers /= np.linalg.norm(centers, axis=1, keepdims=True)
     for _ in range(rounds):
-        own = np.argmax(points @ centers.T, axis=1)
-        sums = np.stack([points[own == t].sum(axis=0) for t in range(topics)])
+        def by_topic(n, centers=centers):
+            points = directions(class_shares(n), mean)
+            own, points = np.argmax(products(points, centers), axis=1), np.rint(points * UNIT).astype(np.int64)
+            return np.stack([points[own == t].sum(axis=0) for t in range(topics)])
+
+        sums = _sums(blocks, by_topic).reshape(topics, DIMS) / UNIT
         sizes = np.linalg.norm(sums, axis=1, keepdims=True)
-        centers = np.where(sizes > 1e-9, sums / np.maximum(sizes, 1e-9), centers)
+        before, centers = centers, np.where(sizes > 1e-9, sums / np.maximum(sizes, 1e-9), centers)
+        if (centers == before).all():
+            break
     return centers - (centers @ mean)[:, None]
 
 
-def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, seed: int = 31) -> np.ndarray:
-    """centroid_weights of a sample of `rows` documents at most; one of each id, those without an id not."""
+def fit_topics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int | None = None, seed: int = 31) -> np.ndarray:
+    """centroid_weights of every row; if `rows` is given, of so many documents at most, those whose ids have the
+    least seeded hashes: one of each id, those without an id not."""
+    if rows is None:
+        return centroid_weights(docs.select(word_classes(text).alias("classes")), seed=seed)
     order = F.xxhash64(F.lit(seed), "key")
     ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("key")).orderBy(order, "key").limit(rows).distinct()
     counts = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("t")).join(F.broadcast(ids), "key").select("key", word_classes("t").alias("n"))
-    found = counts.groupBy("key").agg(F.min("n").alias("n")).select("n").collect()
-    return centroid_weights(np.array([r.n for r in found]).reshape(-1, DIMS), seed=seed)
+    return centroid_weights(counts.groupBy("key").agg(F.min("n").alias("classes")).select("classes"), seed=seed)
 
 
-def topic(weights: np.ndarray, text: str = "text") -> Column:
-    """The nearest of the topics, "t0" and so on, the first of equals; "none" without a word or a topic."""
+def nearest(weights: np.ndarray, counts: Column, any_: Column) -> Column:
+    """The topic with the largest product with the counts, "t0" and so on, the first of equals; "none" unless any_ or without topics."""
     if not len(weights):
         return F.lit("none")
     scores = lambda n: F.array(*(sum((F.lit(float(w)) * n[k] for k, w in enumerate(row)), F.lit(0.0)) for row in weights))
-    best = F.transform(F.transform(F.array(word_classes(text)), scores), lambda s: F.array_position(s, F.array_max(s)))[0] - 1
-    return F.when(body(text).rlike(r"\p{L}|\p{M}"), F.concat(F.lit("t"), best.cast("string"))).otherwise("none")
+    best = F.transform(F.transform(F.array(counts), scores), lambda s: F.array_position(s, F.array_max(s)))[0] - 1
+    return F.when(any_, F.concat(F.lit("t"), best.cast("string"))).otherwise("none")
+
+
+def topic(weights: np.ndarray, text: str = "text") -> Column:
+    """The nearest of the topics, "t0" and so on, the first of equals; "none" without a word or a topic."""
+    return nearest(weights, word_classes(text), body(text).rlike(r"\p{L}|\p{M}"))
 
 
 def tokens(text: str = "text") -> Column:
@@ -231,17 +287,21 @@ def mix(docs: DataFrame, targets: Targets = PRODUCTION, seed: int = 23, doc_id:
     Targets that can't be met together, or only slowly, end the raking after ROUNDS with a warning that gives the
     largest gap; chances are then those of the last round.
 
-    Topics are fitted here unless `topic_of` gives them. Tokens are estimated (see `tokens`).
+    Topics are fitted here, on all rows, unless `topic_of` gives them. Tokens are estimated (see `tokens`).
 
     Null sources, languages and topics are the value "" each. Documents without tokens weigh nothing and are
     kept. Repeated rows share their fate. An empty table gives no rows.
     """
     value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), body(text)), 11) / float(1 << 53)
-    columns = [F.col(doc_id).alias("doc_id"), value(F.col(source)).alias("source"), value(F.col(lang)).alias("lang"), value(topic(fit_topics(docs, doc_id, text), text) if topic_of is None else topic_of).alias("topic"), tokens(text).alias("tokens"), draw.alias("draw")]
-    rows = docs.select(*columns, *([F.struct(*carry).alias("row")] if carry else []))
-    rows = rows if carry else cut(rows)  # narrow rows are made once; rows that carry others twice
-    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    columns = [F.col(doc_id).alias("doc_id"), value(F.col(source)).alias("source"), value(F.col(lang)).alias("lang"), tokens(text).alias("tokens"), draw.alias("draw")]
+    named = word_classes(text).alias("classes") if topic_of is None else value(topic_of).alias("topic")
+    narrow = cut(docs.select(*(columns[1:-1] if carry else columns), named))  # narrow rows are made once; rows that carry others again
+    if topic_of is None:
+        weights = centroid_weights(narrow.select("classes"))
+        narrow, named = narrow.withColumn("topic", nearest(weights, F.col("classes"), F.exists("classes", lambda n: n > 0))), topic(weights, text).alias("topic")
+    rows = docs.select(*columns, named, F.struct(*carry).alias("row")) if carry else narrow
+    cells = cut(narrow.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     chances = _driver_cells(cells, targets) if cells.count() <= DRIVER_CELLS else _table_cells(cells, targets)
     return rows.join(chances, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", "chance", (F.col("draw") < F.col("chance")).alias("kept"), *(["row"] if carry else []))
 

@@ -265,6 +265,39 @@ def test_topics_by_brute_force(spark):
     assert not len(mixing.fit_topics(docs.limit(0))) and docs.limit(3).select(mixing.topic(mixing.fit_topics(docs.limit(0)))).distinct().collect()[0][0] == "none"
 
 
+def k_means(counts, seed=31, rounds=30):
+    """Spherical k-means on class shares, around their mean, by a plain loop."""
+    shares = [np.array(c) / sum(c) for c in counts if sum(c)]
+    mean = sum(shares) / len(shares)
+    points = np.array([(s - mean) / max(np.linalg.norm(s - mean), 1e-12) for s in shares])
+    centers = np.random.default_rng(seed).normal(size=(mixing.TOPICS, mixing.DIMS))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    for _ in range(rounds):
+        own = (points @ centers.T).argmax(axis=1)
+        sums = [points[own == t].sum(axis=0) for t in range(mixing.TOPICS)]
+        centers = np.array([s / np.linalg.norm(s) if np.linalg.norm(s) > 1e-9 else c for s, c in zip(sums, centers, strict=True)])
+    return centers - (centers @ mean)[:, None]
+
+
+def test_topics_are_fitted_on_every_row(spark):
+    """Also on rows without an id and on repeated ones, in any order."""
+    rng = random.Random(13)
+    rows = [(k if k % 5 else None, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 12)))) for k in range(6500)] + [(9, "a b c")] * 50 + [(10, None), (11, "1 2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = mixing.fit_topics(docs)
+    wanted = k_means([r.n for r in docs.select(mixing.word_classes().alias("n")).collect()])
+    assert np.abs(weights - wanted).max() < 1e-6
+    assert (weights == mixing.fit_topics(docs.repartition(9).sortWithinPartitions("text"))).all()
+    ours = {r.text: r.topic for r in docs.select("text", mixing.topic(weights).alias("topic")).collect()}
+    found = mix(docs.selectExpr("doc_id", "text", "'s' as source", "'en' as lang"), carry=("text",)).collect()
+    assert len(found) == len(rows) and all(r.topic == ours[r.row.text] for r in found) and len(set(ours.values())) == mixing.TOPICS + 1
+
+
+def test_topics_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, t) for _, t in ROWS * 3], "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    assert all((r.topic == "none") == (not r.tokens) for r in mix(docs).collect())
+
+
 def test_topic_is_of_the_whole_text(spark):
     """One word in front moves few of the texts, also where all begin with the same."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 500")
