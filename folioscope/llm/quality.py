@@ -157,13 +157,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
         better[-1] += np.bincount(flat, minlength=BUCKETS)
     times = better[-1]
     seen = np.packbits(times >= min(LEAST_ROWS, max(n // 100, 1)), bitorder="little")
-    up, down = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    often = np.flatnonzero(times >= LEAST_ROWS)
+    up, down, held = np.zeros(len(often)), np.zeros(len(often)), times[often]
     for k in range(levels - 1):  # of each bucket's presence against each cut of the grades
         rate = (grades > k).mean()
-        z = (better[k] - rate * times) / np.sqrt(np.maximum(times * (1 - times / n) * max(rate * (1 - rate), 1e-9), 1e-9))
+        z = (better[k][often] - rate * held) / np.sqrt(np.maximum(held * (1 - held / n) * max(rate * (1 - rate), 1e-9), 1e-9))
         up, down = np.maximum(up, z), np.maximum(down, -z)
-    chosen = np.flatnonzero(((up >= MERIT_Z) | (down >= DEFECT_Z)) & (times >= LEAST_ROWS))
-    sign = np.where(up[chosen] > down[chosen], 1.0, -1.0)
+    strong = (up >= MERIT_Z) | (down >= DEFECT_Z)
+    chosen, sign = often[strong], np.where(up[strong] > down[strong], 1.0, -1.0)
+    del better, times, held, up, down, z
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     found = [[], [], []]
@@ -175,7 +177,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
         found[2].append(np.concatenate([r[1] for r in rows[part]])[use])
     column, owner, value = map(np.concatenate, found)
     value = np.where(sign[column] > 0, value / SHARE, 1.0)
-    del found, place, better, times, up, down, z
+    del found, place
     # thresholds stay in order as a first one and logarithms of the steps to the next
     at = np.concatenate((np.zeros(len(chosen)), thresholds[:1], np.log(np.diff(thresholds))))
     first, second = np.zeros_like(at), np.zeros_like(at)
@@ -210,8 +212,8 @@ def fit_table(docs: DataFrame, ratings: DataFrame, levels: int, fit_rows: int =
     """A model of (doc_id, grade) ratings; ratings that lack either are left out.
 
     A document is fitted once: of its several ratings the lowest counts, of several texts of its id the one with
-    the least hash. Only buckets of `fit_rows` rated texts at most reach the driver, those whose ids have the
-    least seeded hashes.
+    the least hash. `fit_rows` rated texts at most are fitted on, those whose ids have the least seeded hashes,
+    by one worker that holds their buckets; the driver gets the model alone.
     """
     prepare(docs.sparkSession)
     order = F.xxhash64(F.lit(seed), "doc_id")
@@ -225,15 +227,21 @@ def fit_table(docs: DataFrame, ratings: DataFrame, levels: int, fit_rows: int =
             found = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int16()))], ["grade", "buckets", "shares"])
 
-    found = rows.mapInArrow(run, "grade int, buckets array<int>, shares array<short>").toArrow()
-    grades = found.column("grade").to_numpy()
-    buckets, shares = (_pieces(found.column(c)) for c in ("buckets", "shares"))
-    order = sorted(range(len(grades)), key=lambda k: (grades[k], xxhash.xxh3_64_intdigest(buckets[k].tobytes())))  # sums don't depend on the rows' order
-    return fit([(buckets[k], shares[k]) for k in order], grades[order] if len(order) else grades, levels)
-
-
-def _pieces(column) -> list[np.ndarray]:
-    return [chunk.values.to_numpy()[a:b] for chunk in column.chunks for a, b in zip(chunk.offsets.to_numpy()[:-1], chunk.offsets.to_numpy()[1:], strict=True)]
+    def model(batches):
+        found = [(int(g), batch.column(1)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy()) for batch in batches for k, g in enumerate(batch.column(0).to_pylist())]
+        found.sort(key=lambda r: (r[0], xxhash.xxh3_64_intdigest(r[1].tobytes())))  # sums don't depend on the rows' order
+        fitted = fit([r[1:] for r in found], np.array([r[0] for r in found], dtype=np.int64), levels)
+        at = np.flatnonzero(fitted.weights)
+        columns = [pa.array([x.tolist()], t) for x, t in ((at, pa.list_(pa.int32())), (fitted.weights[at], pa.list_(pa.float32())), (fitted.thresholds, pa.list_(pa.float64())))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([fitted.seen.tobytes()], pa.binary())], ["at", "weights", "thresholds", "seen"])
+
+    rows = rows.mapInArrow(run, "grade int, buckets array<int>, shares array<short>")
+    found = rows.repartition(1).mapInArrow(model, "at array<int>, weights array<float>, thresholds array<double>, seen binary").collect()
+    if not found:  # an empty table may have no partition
+        return fit([], np.zeros(0), levels)
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[found[0].at] = found[0].weights
+    return OrdinalModel(weights, np.array(found[0].thresholds), np.frombuffer(found[0].seen, dtype=np.uint8))
 
 
 #: A document is kept if its probability of the wanted grade or better is this or more.

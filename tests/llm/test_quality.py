@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from folioscope.llm.quality import SHARE, features, fit, fit_table, grade, op1, rate, select_documents
+from folioscope.llm.quality import BUCKETS, SHARE, features, fit, fit_table, grade, op1, rate, select_documents
 
 
 def made(seed, n):
@@ -117,6 +118,21 @@ def test_null_and_repeated_ratings(spark):
     assert few.seen.sum() < a.seen.sum() or (few.seen != a.seen).any()
 
 
+def test_driver_holds_no_more_than_the_model(spark):
+    """Whatever is rated is fitted on in a worker, with the weights that the driver would find."""
+    texts, grades = made(6, 600)
+    docs = spark.createDataFrame([(k, t, int(g)) for k, (t, g) in enumerate(zip(texts, grades, strict=True))], "doc_id long, text string, grade int")
+    tracemalloc.start()
+    try:
+        model = fit_table(docs, docs.select("doc_id", "grade"), 3)
+        assert tracemalloc.get_traced_memory()[1] < 4 * BUCKETS + (8 << 20)
+    finally:
+        tracemalloc.stop()
+    here = fit([features(t) for t in texts], grades, 3)
+    assert np.abs(model.weights - here.weights).max() < 1e-4 and (model.weights != 0).any() and (model.seen == here.seen).all()
+    assert np.abs(model.thresholds - here.thresholds).max() < 1e-4
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_query(spark, sf):
     rows = op1(spark, f"/root/testdata/{sf}").collect()
