@@ -12,6 +12,7 @@ from test_minhash import brute as classes_of
 from test_native import check_shards
 
 import corpus_pipeline
+from folioscope.llm import mixing
 from folioscope.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +71,14 @@ def test_no_benchmark_passage_stays(spark, stages):
     assert set(ids(kept)) == set(ids(given)) - hit and hit
 
 
+def test_mixing_fits_topics_on_all_documents(spark, monkeypatch):
+    docs = spark.range(5400).selectExpr("id as doc_id", "concat_ws(' ', split(hex(xxhash64(id)), '')) as text", "'en' as lang", "'a' as source", "10L as n_chars")
+    fitted, plain = [], mixing.centroid_weights
+    monkeypatch.setattr(mixing, "centroid_weights", lambda counts, **more: fitted.append(counts.count() if hasattr(counts, "count") else len(counts)) or plain(counts, **more))
+    kept = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert fitted == [5400] and kept.columns == list(corpus_pipeline.COLUMNS) and 0.5 < kept.count() / 5400 < 1
+
+
 def test_shards(stages):
     given, dealt = stages[4]
     check_shards([(r.doc_id, r.text, r.source) for r in given], dealt, 8)
