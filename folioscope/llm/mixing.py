@@ -299,7 +299,8 @@ def mix(docs: DataFrame, targets: Targets = PRODUCTION, seed: int = 23, doc_id:
     narrow = cut(docs.select(*(columns[1:-1] if carry else columns), named))  # narrow rows are made once; rows that carry others again
     if topic_of is None:
         weights = centroid_weights(narrow.select("classes"))
-        narrow, named = narrow.withColumn("topic", nearest(weights, F.col("classes"), F.exists("classes", lambda n: n > 0))), topic(weights, text).alias("topic")
+        of_classes = nearest(weights, F.col("classes"), F.exists("classes", lambda n: n > 0))
+        narrow, named = narrow.withColumn("topic", value(of_classes)), value(topic(weights, text)).alias("topic")  # never null, or the join would work it out twice
     rows = docs.select(*columns, named, F.struct(*carry).alias("row")) if carry else narrow
     cells = cut(narrow.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     chances = _driver_cells(cells, targets) if cells.count() <= DRIVER_CELLS else _table_cells(cells, targets)
