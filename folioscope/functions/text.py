@@ -16,8 +16,12 @@ def literals(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+#: All white space of Unicode: what (?U)\s matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def words(c) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.groups import by_group
 from folioscope.schemas import CONSOLIDATE_BELOW, CONSOLIDATE_TARGET, MIN_COVERAGE, MIN_NARRATIVE_WORDS, MIN_VOLUME_WORDS, MIN_VOLUMES, MIN_WINDOW, NUMBER_WORDS, PROMPT_TOKENS, SPLIT_OVERLAP, SPLIT_TARGET, SPLIT_THRESHOLD, TOKENS_PER_WORD
 
 
@@ -30,20 +31,25 @@ def fragment_groups(chapters: DataFrame, target: int = CONSOLIDATE_TARGET, bound
     """(book_id, index, merged_index): consecutive chapters, gathered until they hold `target` words or a boundary comes.
 
     boundaries: (book_id, boundaries array<int>) of indexes before which a group must end. A book's word
-    counts are folded in order, numbers only; texts stay where they are.
+    counts are folded in order, numbers only and one at a time; texts stay where they are.
     """
-    books = with_words(chapters).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("index", "n_words"))).alias("rows"))
-    books = books.withColumn("boundaries", F.array().cast("array<int>")) if boundaries is None else books.join(boundaries, "book_id", "left").withColumn("boundaries", F.coalesce("boundaries", F.array().cast("array<int>")))
-    start = F.struct(F.lit(-1).alias("group"), F.lit(0).alias("held"), F.lit(True).alias("closed"), F.array().cast("array<struct<index:int,merged_index:int>>").alias("out"))
-
-    def step(state, row, edges):
-        fresh = state["closed"] | F.array_contains(edges, row["index"])
-        group = state["group"] + fresh.cast("int")
-        held = F.when(fresh, row["n_words"]).otherwise(state["held"] + row["n_words"])
-        return F.struct(group.alias("group"), held.alias("held"), (held >= target).alias("closed"), F.concat(state["out"], F.array(F.struct(row["index"].alias("index"), group.alias("merged_index")))).alias("out"))
-
-    folded = F.aggregate("rows", start, lambda state, row: step(state, row, F.col("boundaries")))
-    return books.select("book_id", F.explode(folded["out"]).alias("x")).select("book_id", "x.*")
+    rows = with_words(chapters).select("book_id", "index", "n_words")
+    if boundaries is None:
+        rows = rows.withColumn("edge", F.lit(False))
+    else:
+        edges = boundaries.select("book_id", F.explode("boundaries").alias("index")).distinct().withColumn("edge", F.lit(True))
+        rows = rows.join(edges, ["book_id", "index"], "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
+
+    def fold(key, chapters_in_order):
+        group, held, closed = -1, 0, True
+        for index, n_words, edge in chapters_in_order:
+            if closed or edge:
+                group, held = group + 1, 0
+            held += n_words
+            closed = held >= target
+            yield key[0], index, group
+
+    return by_group(rows, ["book_id"], ["index"], fold, "book_id string, index int, merged_index int")
 
 
 def consolidate(chapters: DataFrame, target: int = CONSOLIDATE_TARGET, boundaries: DataFrame | None = None) -> DataFrame:

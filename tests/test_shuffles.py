@@ -1,0 +1,36 @@
+"""How often rows are shuffled, and results at the edges of the steps that work a chapter or group at a time."""
+
+import re
+
+from folioscope.functions.groups import by_group
+from folioscope.operators import extraction, ingest, passages, registry, scorecard
+from folioscope.schemas import CHAPTERS
+
+
+def shuffles(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def chapters_of(spark, *texts):
+    return spark.createDataFrame([("b", k, None, t, None) for k, t in enumerate(texts)], CHAPTERS)
+
+
+def test_groups_come_whole_and_in_order(spark):
+    rows = spark.createDataFrame([(k % 3, -k, "x") for k in range(9000)], "g int, k int, s string")
+    found = by_group(rows, ["g"], ["k"], lambda key, group: iter([(key[0], [k for k, _ in group])]), "g int, ks array<int>").collect()
+    assert {r.g: r.ks for r in found} == {g: sorted(-k for k in range(9000) if k % 3 == g) for g in range(3)}
+    assert len(found) == 3
+
+
+def test_groups_of_a_long_book(spark):
+    """One pass over numbers: no array grows with the book."""
+    table = chapters_of(spark, *["w " * (k % 5) for k in range(12_000)])
+    found = ingest.fragment_groups(table, 7)
+    group, held, wanted = 0, 0, []
+    for k in range(12_000):
+        wanted.append((k, group))
+        held += k % 5
+        if held >= 7:
+            group, held = group + 1, 0
+    assert sorted((r["index"], r["merged_index"]) for r in found.collect()) == wanted
+    assert "aggregate(" not in found._jdf.queryExecution().executedPlan().toString()
