@@ -6,20 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.joins import few
+from folioscope.functions.lineage import bound
 from folioscope.schemas import CATEGORIES, ENTITY_TYPE_ALIASES, ENTITY_TYPES, FAKE_STOPWORDS, LIST_KEYS, MAX_STATEMENT, MAX_TIME_PHRASE, NAME_CONNECTORS, PROPER_NOUN_TYPES, SUSPICIOUS, WHEN, WHEN_ALIASES
 
+#: A capital with small letters after it, as a whole word. The capital is looked for first, then whether a word starts there.
+_CAPITALISED = r"(?U)([A-Z](?<=\b[A-Z])[a-z]+)\b"
+
 
 def fake_extract(chapters: DataFrame) -> DataFrame:
     """The deterministic extractor: each capitalised word new to its chapter, with the sentence it is in.
 
     (book_id, chapter_index, seq, entity_name, entity_type, category, statement, when, time_phrase)
+    A chapter's own row tells all: nothing is shuffled or sorted but the names within it.
     """
-    rows = chapters.select("book_id", F.col("index").alias("chapter_index"), F.posexplode(T.fact_sentences("text")).alias("s", "sentence"))
-    names = F.regexp_extract_all("sentence", F.lit(r"(?U)\b([A-Z][a-z]+)\b"), 1)
-    rows = rows.select("book_id", "chapter_index", "s", "sentence", F.posexplode(names).alias("t", "entity_name")).where(~F.col("entity_name").isin(*FAKE_STOPWORDS))
-    first = rows.groupBy("book_id", "chapter_index", "entity_name").agg(F.min(F.struct("s", "t", "sentence")).alias("f"))
-    seq = F.row_number().over(Window.partitionBy("book_id", "chapter_index").orderBy("f.s", "f.t")).cast("long")
-    return first.select("book_id", "chapter_index", seq.alias("seq"), "entity_name", F.lit("character").alias("entity_type"), F.lit("development").alias("category"), T.strip("f.sentence").alias("statement"), F.lit("present").alias("when"), F.lit(None).cast("string").alias("time_phrase"))
+    key = ["book_id", "chapter_index"]
+    rows = bound(chapters.select("book_id", F.col("index").alias("chapter_index"), "text"), key, T.fact_sentences("text").alias("sentences"))
+    found = F.flatten(F.transform("sentences", lambda sentence, s: F.transform(F.regexp_extract_all(sentence, F.lit(_CAPITALISED), 1), lambda name, t: F.struct(name.alias("name"), s.alias("s"), t.alias("t")))))
+    rows = bound(rows, [*key, "sentences"], F.sort_array(F.filter(found, lambda x: ~x["name"].isin(*FAKE_STOPWORDS))).alias("found"))
+    first = F.filter("found", lambda x, k: (k == 0) | (x["name"] != F.get("found", k - 1)["name"]))
+    placed = F.sort_array(F.transform(first, lambda x: F.struct(x["s"].alias("s"), x["t"].alias("t"), x["name"].alias("name"))))
+    rows = rows.select(*key, F.posexplode(F.transform(placed, lambda x: F.struct(x["name"].alias("name"), F.get("sentences", x["s"]).alias("sentence")))).alias("k", "x"))
+    return rows.select(*key, (F.col("k") + 1).cast("long").alias("seq"), F.col("x.name").alias("entity_name"), F.lit("character").alias("entity_type"), F.lit("development").alias("category"), T.strip("x.sentence").alias("statement"), F.lit("present").alias("when"), F.lit(None).cast("string").alias("time_phrase"))
 
 
 def _in(value: Column, allowed) -> Column:
@@ -51,12 +59,6 @@ def normal_entity_type(value: Column, content_type: str = "fiction") -> Column:
     return found
 
 
-def _bound(rows: DataFrame, keys: list[str], *columns) -> DataFrame:
-    """The keys and columns, computed here once: an explode of one row keeps the optimizer from writing the expressions
-    into all that use them, which would outgrow a generated method."""
-    return rows.select(*keys, F.explode(F.array(F.struct(*columns))).alias("bound")).select(*keys, "bound.*")
-
-
 def parse_responses(responses: DataFrame, content_type: str = "fiction", raw: str = "raw") -> DataFrame:
     """(response_id, ok, facts): what each extractor response says.
 
@@ -69,7 +71,7 @@ def parse_responses(responses: DataFrame, content_type: str = "fiction", raw: st
     unfenced = F.regexp_replace(bare, "^`+|`+$", "")
     unfenced = T.strip(F.when(F.startswith(unfenced, F.lit("json")), F.substr(unfenced, F.lit(5))).otherwise(unfenced))
     rows = responses.select("response_id", F.when(F.startswith(bare, F.lit("```")), unfenced).otherwise(bare).alias("json"))
-    rows = _bound(rows, ["response_id"], F.try_parse_json("json").alias("v"))
+    rows = bound(rows, ["response_id"], F.try_parse_json("json").alias("v"))
     rows = rows.withColumn("kind", F.schema_of_variant("v"))
     is_list = lambda v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY<"))
     items = lambda v: F.try_variant_get(v, "$", "array<variant>")
@@ -84,13 +86,13 @@ def parse_responses(responses: DataFrame, content_type: str = "fiction", raw: st
     for name in ("entity_name", "entity_type", "category", "statement"):
         required = required & F.try_variant_get("x", f"$.{name}", "variant").isNotNull()
     fields = ("entity_name", "entity_type", "category", "statement", "when", "time_phrase")
-    parts = _bound(parts.select("response_id", "seq", "x"), ["response_id", "seq"], F.coalesce(required & text, F.lit(False)).alias("whole"), *(get(name).alias(name) for name in fields))
+    parts = bound(parts.select("response_id", "seq", "x"), ["response_id", "seq"], F.coalesce(required & text, F.lit(False)).alias("whole"), *(get(name).alias(name) for name in fields))
     dropped = F.length("statement") > MAX_STATEMENT
     for word in SUSPICIOUS:
         dropped = dropped | F.contains("statement", F.lit(word))
     kind, when = normal_entity_type(F.col("entity_type"), content_type), F.when(F.col("when").isNull(), "present").otherwise(normal_when(F.col("when")))
     normal = (kind.alias("entity_type"), normal_category(F.col("category"), content_type).alias("category"), when.alias("when"), normal_time_phrase(F.col("time_phrase")).alias("time_phrase"))
-    parts = _bound(parts, ["response_id", "seq"], "whole", (F.col("whole") & dropped).alias("dropped"), "entity_name", "statement", *normal)
+    parts = bound(parts, ["response_id", "seq"], "whole", (F.col("whole") & dropped).alias("dropped"), "entity_name", "statement", *normal)
     parts = parts.withColumn("bad", ~F.col("whole") | (~F.col("dropped") & F.col("entity_type").isNull()))
     fact = F.struct("seq", "entity_name", "entity_type", "category", "statement", "when", "time_phrase")
     found = parts.groupBy("response_id").agg(F.bool_or("bad").alias("bad"), F.array_sort(F.collect_list(F.when(~F.col("bad") & ~F.col("dropped"), fact))).alias("facts"))
@@ -118,11 +120,14 @@ def is_grounded(name: Column, entity_type: Column, text: Column) -> Column:
     low = F.lower(bare)
     stem = F.when((F.length(bare) > 3) & F.endswith(low, F.lit("es")), F.left(bare, F.length(bare) - 2)).when((F.length(bare) > 2) & F.endswith(low, F.lit("s")), F.left(bare, F.length(bare) - 1)).otherwise(bare)
     wordy = lambda c: F.regexp_like(c, F.lit(r"^[\p{L}\p{N}_]$"))
-    left = F.when(wordy(F.left(bare, F.lit(1))), r"\b").otherwise("")
+    first, rest = F.left(stem, F.lit(1)), F.substr(stem, F.lit(2))
     right = F.when(wordy(F.right(stem, F.lit(1))), r"\b").otherwise("")
     exact = entity_type.isin(*PROPER_NOUN_TYPES) & is_proper_noun(bare)
-    pattern = F.concat(F.when(exact, "(?U)").otherwise("(?iuU)"), left, T.quoted(stem), F.lit("(?:e?s)?"), right)
-    return (bare != "") & F.regexp_like(text, pattern)
+    # the first letter is looked for before the boundary at it, which is dear
+    start = F.when(wordy(first), F.concat(T.quoted(first), F.lit(r"(?<=\b"), T.quoted(first), F.lit(")"))).otherwise(T.quoted(first))
+    pattern = F.concat(F.when(exact, "(?U)").otherwise("(?iuU)"), start, T.quoted(rest), F.lit("(?:e?s)?"), right)
+    # with its capitals the stem must be in the text as it is
+    return (bare != "") & (~exact | F.contains(text, stem)) & F.regexp_like(text, pattern)
 
 
 def ground(facts: DataFrame, chapters: DataFrame, known: DataFrame) -> DataFrame:
@@ -156,12 +161,12 @@ def resolve(facts: DataFrame, entities: DataFrame, scopes: DataFrame) -> DataFra
     scopes: (book_id, scope array of the book ids that the book may share entities with, scope_id). Names
     compare by match key. What finds none is minted once for its scope, type and key.
     """
-    rows = facts.withColumn("key", T.match_key("entity_name")).join(scopes, "book_id")
-    wanted = rows.select("book_id", "entity_type", "key", "scope", "scope_id").distinct()
+    rows = facts.withColumn("key", T.match_key("entity_name")).join(few(scopes), "book_id")
+    wanted = rows.select("book_id", "entity_type", "key", "scope").distinct()
     keys = entity_keys(entities)
-    found = wanted.join(keys, (wanted["entity_type"] == keys["type"]) & (wanted["key"] == keys["key"]) & F.arrays_overlap("scope", "book_ids"), "left").select(wanted["book_id"], wanted["entity_type"], wanted["key"], "entity_id", "ord")
+    found = wanted.join(keys, (wanted["entity_type"] == keys["type"]) & (wanted["key"] == keys["key"]) & F.arrays_overlap("scope", "book_ids")).select(wanted["book_id"], wanted["entity_type"], wanted["key"], "entity_id", "ord")
     found = found.groupBy("book_id", "entity_type", "key").agg(F.min_by("entity_id", "ord").alias("entity_id"))
-    rows = rows.join(found, ["book_id", "entity_type", "key"]).withColumn("is_new", F.col("entity_id").isNull())
+    rows = rows.join(found, ["book_id", "entity_type", "key"], "left").withColumn("is_new", F.col("entity_id").isNull())
     return rows.withColumn("entity_id", F.coalesce("entity_id", minted_id(F.col("entity_type"), F.col("scope_id"), F.col("key")))).drop("scope")
 
 

@@ -53,7 +53,7 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def no_entities(spark: SparkSession) -> DataFrame:
     from folioscope.schemas import ENTITIES
 
-    return spark.createDataFrame([], ENTITIES)
+    return spark.createDataFrame([], ENTITIES).where(F.lit(False))  # known to be empty when a plan is made
 
 
 def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry that the facts make: named as first met in the series, in the order of names."""
-    rows = extraction.resolve(extracted(spark, sf_dir), no_entities(spark), scopes(spark, sf_dir))
-    at = F.struct(F.substring("book_id", 4, 9).cast("int"), "chapter_index", "seq")
+    at = F.col("chapter_index").cast("long") * 1_000_000_000 + F.col("seq")
+    named = extracted(spark, sf_dir).groupBy("book_id", "entity_name", "entity_type").agg(F.min(at).alias("at"))
+    rows = extraction.resolve(named, no_entities(spark), scopes(spark, sf_dir))
+    at = F.struct(F.substring("book_id", 4, 9).cast("int"), "at")
     none = F.array().cast("array<string>")
     first = rows.groupBy("entity_id").agg(F.min_by("entity_name", at).alias("canonical_name"), F.first("entity_type").alias("type"), F.array_sort(F.collect_set("book_id")).alias("book_ids"), F.min("scope_id").alias("scope_id"))
     return first.select("entity_id", "canonical_name", "type", none.alias("aliases"), none.alias("epithets"), "book_ids", F.xxhash64("entity_id").alias("ord"))

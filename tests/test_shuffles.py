@@ -34,3 +34,17 @@ def test_groups_of_a_long_book(spark):
             group, held = group + 1, 0
     assert sorted((r["index"], r["merged_index"]) for r in found.collect()) == wanted
     assert "aggregate(" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extraction_needs_no_shuffle(spark):
+    table = chapters_of(spark, "Zoe met Ann. The fox. Zoe ran?  Bob Ann saw ÉZoe Élé Ab1.", "", None)
+    found = extraction.fake_extract(table)
+    assert [(r.chapter_index, r.seq, r.entity_name, r.statement) for r in found.collect()] == [(0, 1, "Zoe", "Zoe met Ann."), (0, 2, "Ann", "Zoe met Ann."), (0, 3, "Bob", "Bob Ann saw ÉZoe Élé Ab1.")]
+    assert shuffles(found) == 0
+
+
+def test_a_name_is_looked_for_as_it_is_first(spark):
+    rows = spark.createDataFrame([("Moss", "character", "the Moss grew"), ("Moss", "character", "Mosses"), ("Moss", "character", "moss"), ("Moss", "character", "aMoss"), ("moss", "theme", "MOSS"), ("Ann", "character", "Anna Ann's")], "n string, t string, x string")
+    found = rows.select(extraction.is_grounded(rows.n, rows.t, rows.x).alias("g"))
+    assert [r.g for r in found.collect()] == [True, False, False, False, True, True]
+    assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
