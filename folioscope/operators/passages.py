@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.functions.lineage import settle
+from folioscope.functions.groups import by_group, small_batches
+from folioscope.functions.joins import few
+from folioscope.functions.lineage import bound
 from folioscope.schemas import MAX_QUOTE, MIN_PASSAGE_SCORE, PAIR_PENALTY, PASSAGE_STOPWORDS, UNSEEN_IDF
 
-_ENDS = ".!?\"'”’"
+#: Lengths that are added up in one go: sums run over blocks, then within them.
+_BLOCK = 32
+
+
+def _marked() -> Column:
+    """The text with \u0001 before and \u0002 behind each gap between sentences."""
+    # fixed value: where sentences end. White space is looked for first, then what stands before it.
+    return F.regexp_replace("text", r"(?U)\s(?<=[.!?\"'”’]\s)\s*|\n{2,}", "\u0001$0\u0002")
 
 
 def sentences(chapters: DataFrame) -> DataFrame:
@@ -17,31 +26,154 @@ def sentences(chapters: DataFrame) -> DataFrame:
 
     White space after a full stop, mark or closing quote divides, and so do two line feeds or more.
     """
-    # fixed value: where sentences end
-    marked = F.regexp_replace("text", r"(?U)(?<=[.!?\"'”’])\s+|\n{2,}", "\u0001$0\u0002")
-    pieces = F.transform(F.split(marked, "\u0001"), lambda p: F.split(p, "\u0002"))
-    # a piece after the first is (gap, sentence)
-    rows = chapters.select("book_id", F.col("index").alias("chapter_index"), F.posexplode(pieces).alias("k", "p"))
-    rows = rows.select("book_id", "chapter_index", "k", F.when(F.size("p") > 1, F.col("p")[0]).otherwise("").alias("gap"), F.element_at("p", -1).alias("sentence"))
-    before = Window.partitionBy("book_id", "chapter_index").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.sum(F.length("gap") + F.length("sentence")).over(before)).withColumn("start", F.col("end") - F.length("sentence"))
-    rows = rows.where(T.strip("sentence") != "")
-    i = F.row_number().over(Window.partitionBy("book_id", "chapter_index").orderBy("k")) - 1
-    return rows.select("book_id", "chapter_index", i.alias("i"), "start", "end", "sentence")
-
-
-def learnt_names(chapters: DataFrame) -> DataFrame:
-    """(book_id, chapter_index, learnt): stopwords that the chapter uses as names, capitalised within a sentence."""
-    parts = F.regexp_extract_all("text", F.lit("([^A-Za-z0-9']*)([A-Za-z0-9']+)"), 0)
-    rows = chapters.select("book_id", F.col("index").alias("chapter_index"), F.posexplode(parts).alias("k", "part"))
-    word = F.regexp_extract("part", "([A-Za-z0-9']+)$", 1)
-    gap = F.regexp_replace(F.regexp_extract("part", "^([^A-Za-z0-9']*)", 1), r"(?U)\s+\z", "")
-    own = Window.partitionBy("book_id", "chapter_index").orderBy("k")
-    rows = rows.select("book_id", "chapter_index", "k", word.alias("word"), gap.alias("gap"))
-    # the last character before the word's white space: of the gap, or of the word before
-    last = F.when(F.col("gap") != "", F.right("gap", F.lit(1))).otherwise(F.right(F.lag("word").over(own), F.lit(1)))
-    rows = rows.withColumn("last", last).where(F.lower("word").isin(*PASSAGE_STOPWORDS) & F.regexp_like("word", F.lit("^[A-Z]")))
-    return rows.where(~F.col("last").isin(*_ENDS)).groupBy("book_id", "chapter_index").agg(F.array_sort(F.collect_set(F.lower("word"))).alias("learnt"))
+    key = ["book_id", "chapter_index"]
+    rows = bound(chapters.where("text is not null").select("book_id", F.col("index").alias("chapter_index"), "text"), key, F.split(_marked(), "\u0001").alias("p"))
+    # a piece after the first is gap and sentence
+    rows = bound(rows, key, F.transform("p", lambda p: F.substring_index(p, "\u0002", -1)).alias("s"), F.transform("p", lambda p: F.length(p) - F.contains(p, F.lit("\u0002")).cast("int")).alias("n"))
+    add = lambda values, first, count: F.aggregate(F.slice(values, first + 1, count), F.lit(0), lambda total, x: total + x)
+    blocks = F.sequence(F.lit(0), F.floor((F.size("n") - 1) / _BLOCK).cast("int"))
+    rows = bound(rows, [*key, "s", "n"], F.transform(blocks, lambda b: add(F.col("n"), b * _BLOCK, F.lit(_BLOCK))).alias("sums"))
+    rows = bound(rows, [*key, "s", "n"], F.transform("sums", lambda _, b: add(F.col("sums"), F.lit(0), b)).alias("before"))
+    ends = F.transform("n", lambda _, k: F.get("before", F.floor(k / _BLOCK).cast("int")) + add(F.col("n"), F.floor(k / _BLOCK).cast("int") * _BLOCK, k % _BLOCK + 1))
+    rows = bound(rows, [*key, "s"], ends.alias("ends"))
+    spans = F.zip_with("s", "ends", lambda s, e: F.struct((e - F.length(s)).cast("long").alias("start"), e.cast("long").alias("end"), s.alias("sentence")))
+    rows = rows.select(*key, F.posexplode(F.filter(spans, lambda x: T.strip(x["sentence"]) != "")).alias("i", "x"))
+    return rows.select(*key, "i", "x.start", "x.end", "x.sentence")
+
+
+def word_weights(chapters: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, word, idf): one over the number of a chapter's sentences that have the word.
+
+    A chapter's own row tells all, so its words are counted where it is and never shuffled.
+    """
+    rows = chapters.where("text is not null").select("book_id", F.col("index").alias("chapter_index"), _marked().alias("marked"))
+    types = dict(rows.dtypes)
+    stop = frozenset(PASSAGE_STOPWORDS)
+
+    def run(batches):
+        import re
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        find = re.compile("[A-Za-z0-9']+").findall
+        for batch in batches:
+            words, weights, sizes = [], [], []
+
+            def packed(first, batch=batch):
+                at = pa.array(np.repeat(np.arange(first, first + len(sizes)), sizes))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.string()), pa.array(weights, pa.float64())], ["book_id", "chapter_index", "word", "idf"])
+
+            first = 0
+            for text in batch.column(2).to_pylist():
+                n: Counter = Counter()
+                for sentence in text.split("\u0001"):
+                    n.update({w for w in map(str.lower, find(sentence.rpartition("\u0002")[2])) if len(w) >= 2 and w not in stop})
+                words += n
+                weights += [1.0 / k for k in n.values()]
+                sizes.append(len(n))
+                if len(words) > 100_000:
+                    yield packed(first)
+                    first, words, weights, sizes = first + len(sizes), [], [], []
+            if words:
+                yield packed(first)
+
+    small_batches(rows)
+    return rows.mapInArrow(run, f"book_id {types['book_id']}, chapter_index {types['chapter_index']}, word string, idf double")
+
+
+def located(statements: DataFrame, chapters: DataFrame, every: bool = False, tell: str | None = None) -> DataFrame:
+    """(statement_id, book_id, chapter_index, i, pair, start, end, score, passage, n_text, told): `passages` with the number of
+    the first sentence, the chapter's length and what its text column `tell` says.
+
+    every: statements without a passage too, if their chapter exists.
+    """
+    key = ["book_id", "chapter_index"]
+    types = dict(statements.dtypes)
+    said = statements.select(*key, F.lit(1).alias("kind"), F.col("statement").alias("body"), "statement_id", F.lit(None).cast("string").alias("told"))
+    texts = chapters.select("book_id", F.col("index").cast(types["chapter_index"]).alias("chapter_index"), F.lit(0).alias("kind"), F.coalesce(_marked(), F.lit("")).alias("body"), F.lit(None).cast(types["statement_id"]).alias("statement_id"), (F.col(tell) if tell else F.lit(None)).cast("string").alias("told"))
+    stop, least, penalty, unseen, white = frozenset(PASSAGE_STOPWORDS), MIN_PASSAGE_SCORE, PAIR_PENALTY, UNSEEN_IDF, T.WHITE
+
+    def work(key, rows_in_order):
+        import re
+
+        find, capitals = re.compile("[A-Za-z0-9']+").findall, re.compile("(?<![A-Za-z0-9'])[A-Z][A-Za-z0-9']*").finditer
+        own, common, end, about = [], stop, None, None
+
+        def learnt(text):
+            """Stopwords that the text uses as names: capitalised, and neither first in it nor after the end of a sentence."""
+            for m in capitals(text):
+                w = m[0].lower()
+                if w in stop:
+                    k = m.start() - 1
+                    while k >= 0 and text[k] in white:
+                        k -= 1
+                    if k >= 0 and text[k] not in ".!?\"'”’":
+                        yield w
+
+        def words_of(text):
+            return {w for w in map(str.lower, find(text)) if len(w) >= 2 and w not in common}
+
+        def best(statement):
+            """The place of the best passage, rounded score first, then the earliest, a single sentence before a pair."""
+            wanted = sorted(words_of(statement))
+            weight = {w: idf.get(w, unseen) for w in wanted}
+            total = 0.0
+            for w in wanted:
+                total += weight[w]
+            met, sofar, bar = set(), 0.0, total * (least - 1e-6)
+            for w in sorted(wanted, key=lambda w: (weight[w], w)):
+                sofar += weight[w]
+                if sofar >= bar and w in places:
+                    met.update(places[w])
+            found, top = None, None
+            at = {(i, 0) for i in met} | {(i, 1) for i in met if i + 1 < len(own)} | {(i - 1, 1) for i in met if i}
+            for i, pair in at:
+                first, score = own[i], 0.0
+                if pair:
+                    second = own[i + 1]
+                    for w in wanted:
+                        if w in first or w in second:
+                            score += weight[w]
+                    score = score / total * penalty
+                else:
+                    for w in wanted:
+                        if w in first:
+                            score += weight[w]
+                    score = score / total * 1.0
+                rank = (int(score * 1e12 + 0.5), -i, -pair)
+                if top is None or rank > top:
+                    found, top = (i, pair, score), rank
+            return found if found and found[2] >= least else None
+
+        for kind, body, statement_id, told in rows_in_order:
+            if kind == 0:
+                sentences, starts, ends, end, about = [], [], [], 0, told
+                for piece in body.split("\u0001"):
+                    _, mark, sentence = piece.rpartition("\u0002")
+                    end += len(piece) - len(mark)
+                    if sentence.strip(white):
+                        sentences.append(sentence)
+                        starts.append(end - len(sentence))
+                        ends.append(end)
+                common = stop.difference(learnt(" ".join(sentences)))
+                own, places, known = [words_of(s) for s in sentences], {}, {}
+                for i, words in enumerate(own):
+                    for w in words:
+                        places.setdefault(w, []).append(i)
+                idf = {w: 1.0 / len(at) for w, at in places.items()}
+            elif end is not None and None not in key:
+                if body not in known:
+                    known[body] = best(body) if own and body is not None else None
+                if known[body]:
+                    i, pair, score = known[body]
+                    yield statement_id, *key, i, pair, starts[i], ends[i + pair], score, " ".join(sentences[i : i + pair + 1]), end, about
+                elif every:
+                    yield statement_id, *key, None, None, None, None, None, None, end, about
+
+    schema = f"statement_id {types['statement_id']}, book_id {types['book_id']}, chapter_index {types['chapter_index']}, i int, pair int, start long, end long, score double, passage string, n_text long, told string"
+    return by_group(texts.union(said), key, ["kind"], work, schema)
 
 
 def passages(statements: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -53,44 +185,20 @@ def passages(statements: DataFrame, chapters: DataFrame) -> DataFrame:
     in the order of the words. The earliest best wins, a single sentence before a pair, from 0.40 on.
 
     The lightest words of a statement, so many that together they are below that bound, can't make a passage.
-    So statements meet only sentences that have another of their words: the join is on chapter and word.
+    So statements meet only sentences that have another of their words. Chapters and statements are shuffled
+    once, by chapter, and a worker holds one chapter at a time.
     """
-    key = ["book_id", "chapter_index"]
-    used = statements.select(*key).distinct()
-    names = chapters.join(used.select("book_id", F.col("chapter_index").alias("index")), ["book_id", "index"], "left_semi")
-    learnt = learnt_names(names)
-    spans = sentences(names).join(learnt, key, "left")
-    spans = settle(spans.select(*key, "i", "start", "end", F.array_distinct(T.passage_words("sentence", F.col("learnt"))).alias("words")))
-    words = spans.select(*key, "i", F.explode("words").alias("word"))
-    idf = words.groupBy(*key, "word").agg((1 / F.count("*")).alias("idf"))
-    wanted = statements.join(learnt, key, "left").select("statement_id", *key, F.explode(T.passage_words("statement", F.col("learnt"))).alias("word"))
-    wanted = settle(wanted.join(idf, [*key, "word"], "left").withColumn("weight", F.coalesce("idf", F.lit(UNSEEN_IDF))))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x["weight"])
-    weighed = F.array_sort(F.collect_list(F.struct("word", "weight")))
-    all_ = wanted.groupBy("statement_id").agg(weighed.alias("wanted")).withColumn("total", add("wanted"))
-    rising = Window.partitionBy("statement_id").orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    telling = wanted.withColumn("sofar", F.sum("weight").over(rising)).withColumn("total", F.sum("weight").over(Window.partitionBy("statement_id")))
-    telling = telling.where(F.col("sofar") >= F.col("total") * (MIN_PASSAGE_SCORE - 1e-6)).where("idf is not null")
-    # a word in sentence i counts for i alone, for i and the next, and for the one before and i
-    places = F.array(F.struct(F.col("i"), F.lit(0).alias("pair")), F.struct(F.col("i"), F.lit(1).alias("pair")), F.struct((F.col("i") - 1).alias("i"), F.lit(1).alias("pair")))
-    met = telling.join(words, [*key, "word"]).select("statement_id", *key, F.explode(places).alias("at")).select("statement_id", *key, "at.i", "at.pair").distinct()
-    own = spans.select(*key, "i", F.col("words").alias("own"))
-    met = met.join(own, [*key, "i"]).join(spans.select(*key, (F.col("i") - 1).alias("i"), F.col("words").alias("next")), [*key, "i"], "left")
-    met = met.where((F.col("pair") == 0) | F.col("next").isNotNull()).join(all_, "statement_id")
-    has = lambda x: F.array_contains("own", x["word"]) | ((F.col("pair") == 1) & F.array_contains("next", x["word"]))
-    scored = met.withColumn("score", add(F.filter("wanted", has)) / F.col("total") * F.when(F.col("pair") == 1, PAIR_PENALTY).otherwise(1.0))
-    best = F.max_by(F.struct("i", "pair", "score"), F.struct(F.round("score", 12), -F.col("i"), -F.col("pair")))
-    found = scored.groupBy("statement_id", *key).agg(best.alias("b")).where(F.col("b.score") >= MIN_PASSAGE_SCORE)
-    ends = spans.select(*key, F.col("i").alias("i"), "start", "end")
-    found = found.select("statement_id", *key, F.col("b.i").alias("i"), (F.col("b.i") + F.col("b.pair")).alias("to"), F.col("b.score").alias("score"))
-    found = found.join(ends.select(*key, "i", "start"), [*key, "i"]).join(ends.select(*key, F.col("i").alias("to"), "end"), [*key, "to"])
-    found = found.join(chapters.select("book_id", F.col("index").alias("chapter_index"), "text"), key)
-    quote = T.trimmed_quote(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")), MAX_QUOTE)
-    return found.select("statement_id", *key, quote.alias("quote"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score")
-
-
-def position_in_chapter(start: Column, text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), start / F.length(text))))
+    quote = T.trimmed_quote(F.col("passage"), MAX_QUOTE)
+    return located(statements, chapters).select("statement_id", "book_id", "chapter_index", quote.alias("quote"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score")
+
+
+def position_in_chapter(start: Column, length: Column) -> Column:
+    return F.when(length > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), start / length)))
+
+
+def _volume(volumes: Column, chapter: Column) -> Column:
+    """The first of a book's volumes with a title around the chapter."""
+    return F.get(F.filter(volumes, lambda v: (F.trim(v["title"]) != "") & (v["start"] <= chapter) & (chapter <= v["end"])), 0)
 
 
 def volumes_at(chapters: DataFrame, books: DataFrame) -> DataFrame:
@@ -105,22 +213,25 @@ def citations(statements: DataFrame, chapters: DataFrame, books: DataFrame) -> D
     """A citation for each statement whose book and chapter exist: its place in words, and the quote if there is one.
 
     (statement_id, book_id, chapter_index, where, rendered, quote, score, position)
+    All that a chapter says of its place is put into words once, and goes with its text.
     """
     key = ["book_id", "chapter_index"]
-    found = passages(statements, chapters).select("statement_id", "quote", "start", "score")
-    rows = statements.join(chapters.select("book_id", F.col("index").alias("chapter_index"), F.col("title").alias("chapter_title"), "pages", "text"), key)
-    rows = rows.join(books.select("book_id", "title"), "book_id").join(volumes_at(chapters, books), key, "left").join(found, "statement_id", "left")
-    rows = rows.withColumn("position", F.when(F.col("score").isNotNull(), position_in_chapter(F.col("start"), F.col("text"))))
+    held = chapters.select("book_id", "index", "title", "pages", "text").join(few(books.select("book_id", F.col("title").alias("book"), F.col("volumes"))), "book_id")
+    held = bound(held, ["book_id", "index", "title", "pages", "text", "book"], _volume(F.col("volumes"), F.col("index")).alias("v"))
     paged = F.size("pages") > 0
     first, last = F.col("pages")[0], F.element_at("pages", -1)
     place = (
         F.when(paged, F.when(first == last, F.concat(F.lit("p. "), first)).otherwise(F.concat(F.lit("pp. "), first, F.lit("-"), last)))
-        .when(F.col("chapter_title") != "", F.col("chapter_title"))
-        .when(F.col("volume_chapter").isNotNull(), F.concat(F.lit("chapter "), F.col("volume_chapter")))
-        .otherwise(F.concat(F.lit("chapter "), F.col("chapter_index")))
+        .when(F.col("title") != "", F.col("title"))
+        .when(F.col("v").isNotNull(), F.concat(F.lit("chapter "), F.col("index") - F.col("v.start") + 1))
+        .otherwise(F.concat(F.lit("chapter "), F.col("index")))
     )
-    inside = F.when(F.col("pages").isNull(), F.concat(F.bround(F.col("position") * 100, 0).cast("int"), F.lit("% in")))
-    rows = rows.withColumn("where", F.concat_ws(", ", F.coalesce("volume", F.when(F.col("title") != "", F.col("title")), "book_id"), place, inside))
+    head = F.concat_ws(", ", F.coalesce(T.strip("v.title"), F.when(F.col("book") != "", F.col("book")), "book_id"), place)
+    held = held.select("book_id", "index", "text", F.concat(F.when(F.col("pages").isNull(), "%").otherwise("p"), head).alias("tell"))
+    rows = located(statements, held, every=True, tell="tell").withColumn("position", F.when(F.col("score").isNotNull(), position_in_chapter(F.col("start"), F.col("n_text"))))
+    rows = rows.withColumn("quote", T.trimmed_quote(F.col("passage"), MAX_QUOTE))
+    inside = F.when(F.startswith("told", F.lit("%")), F.concat(F.bround(F.col("position") * 100, 0).cast("int"), F.lit("% in")))
+    rows = rows.withColumn("where", F.concat_ws(", ", F.substr("told", F.lit(2)), inside))
     rendered = F.when(F.col("quote").isNull(), F.col("where")).otherwise(F.concat("where", F.lit(' - "'), "quote", F.lit('"')))
     return rows.select("statement_id", *key, "where", rendered.alias("rendered"), "quote", "score", "position")
 

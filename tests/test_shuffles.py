@@ -48,3 +48,19 @@ def test_a_name_is_looked_for_as_it_is_first(spark):
     found = rows.select(extraction.is_grounded(rows.n, rows.t, rows.x).alias("g"))
     assert [r.g for r in found.collect()] == [True, False, False, False, True, True]
     assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statements_and_texts_are_shuffled_once(spark):
+    table = chapters_of(spark, "Ann fled. Then Will came.\n\nWill slept", "", None)
+    said = spark.createDataFrame([("1", "b", 0, "Will slept"), ("2", "b", 0, "nothing"), ("3", "b", 1, "Ann"), ("4", "b", 2, "Ann"), ("5", "b", 9, "Ann"), ("6", None, 0, "Ann"), ("7", "b", 0, None)], "statement_id string, book_id string, chapter_index int, statement string")
+    books = spark.createDataFrame([("b", "Book", None)], "book_id string, title string, volumes array<struct<title:string,label:string,start:int,end:int>>")
+    found = passages.passages(said, table)
+    assert [(r.statement_id, r.quote, r.start, r.end) for r in found.collect()] == [("1", "Will slept", 27, 37)] and shuffles(found) == 1
+    cited = passages.citations(said, table, books)
+    assert {r.statement_id: r["where"] for r in cited.collect()} == {"1": "Book, chapter 0, 73% in", "2": "Book, chapter 0", "3": "Book, chapter 1", "4": "Book, chapter 2", "7": "Book, chapter 0"}
+    assert shuffles(cited) == 1
+
+
+def test_words_of_a_chapter_need_no_shuffle(spark):
+    found = passages.word_weights(chapters_of(spark, "Ann fled. Ann, Ann! The fox", "", None))
+    assert {r.word: r.idf for r in found.collect()} == {"ann": 0.5, "fled": 1.0, "fox": 1.0} and shuffles(found) == 0
