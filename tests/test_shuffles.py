@@ -64,3 +64,19 @@ def test_statements_and_texts_are_shuffled_once(spark):
 def test_words_of_a_chapter_need_no_shuffle(spark):
     found = passages.word_weights(chapters_of(spark, "Ann fled. Ann, Ann! The fox", "", None))
     assert {r.word: r.idf for r in found.collect()} == {"ann": 0.5, "fled": 1.0, "fox": 1.0} and shuffles(found) == 0
+
+
+def test_near_duplicates_are_shuffled_once(spark):
+    facts = spark.createDataFrame([("b", 0, k, s) for k, s in enumerate(["golden lantern here", "GOLDEN lantern here", "a to", None, "lantern"])] + [(None, 0, 9, "golden lantern here"), (None, 0, 10, "golden lantern here")], "book_id string, chapter_index int, seq long, statement string")
+    found = scorecard.near_duplicate_pairs(facts, ["book_id", "chapter_index"])
+    assert [tuple(r) for r in found.collect()] == [("b", 0, 0, 1)] and shuffles(found) == 1
+
+
+def test_groundedness_of_many_is_that_of_each(spark):
+    said = ["Ann found GOLD, rather!", "a to", "", "\"'''' Nothing", "found? found"]
+    facts = spark.createDataFrame([("b", 0, k, s) for k, s in enumerate(said)] + [("b", 1, 9, "Ann found"), ("b", 7, 10, "Ann found")], "book_id string, chapter_index int, seq long, statement string")
+    table = chapters_of(spark, "Ann FOUND golden things, not nothings.", "")
+    found = scorecard.grounded_facts(facts, table)
+    joined = facts.join(table.withColumnRenamed("index", "chapter_index"), ["book_id", "chapter_index"])
+    wanted = {r.seq: r.g for r in joined.select("seq", scorecard.groundedness(joined.statement, joined.text).alias("g")).collect()}
+    assert {r.seq: r.g for r in found.collect()} == wanted and len(wanted) == 6 and shuffles(found) == 1
