@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from folioscope.functions import text as T
+from folioscope.functions.lineage import settle
 from folioscope.schemas import FUZZY_RATIO, MAX_STATEMENT_MATCHES, RARITY_DIVISOR
 
 
@@ -38,7 +39,7 @@ def entities_in_question(question: str, facts: DataFrame, entities: DataFrame) -
     plain = name_in_question(F.col("name"), F.lit(question))
     low = F.lower("name")
     near = ~F.contains(low, F.lit(" ")) & (F.length(low) >= 3)
-    names = names.withColumn("plain", plain)
+    names = settle(names.withColumn("plain", plain))
     fuzzy = names.where(~F.col("plain") & near).where(_reads_like(T.raw_question_words(F.lit(question)), F.lower("name")))
     return names.where("plain").select("entity_id").union(fuzzy.select("entity_id")).distinct()
 
@@ -67,7 +68,7 @@ def facts_by_rare_words(question: str, facts: DataFrame, limit: int = MAX_STATEM
 
 def relevant_facts(question: str, facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Facts of entities that the question names; else those by rare words; else all. facts: ranked."""
-    named = entities_in_question(question, facts, entities)
+    named = settle(entities_in_question(question, facts, entities))
     if not named.isEmpty():
         return facts.join(F.broadcast(named), "entity_id", "left_semi")
     rare = facts_by_rare_words(question, facts)

@@ -80,3 +80,18 @@ def test_groundedness_of_many_is_that_of_each(spark):
     joined = facts.join(table.withColumnRenamed("index", "chapter_index"), ["book_id", "chapter_index"])
     wanted = {r.seq: r.g for r in joined.select("seq", scorecard.groundedness(joined.statement, joined.text).alias("g")).collect()}
     assert {r.seq: r.g for r in found.collect()} == wanted and len(wanted) == 6 and shuffles(found) == 1
+
+
+def test_stated_variants_look_around_phrases_only(spark):
+    """No name meets a whole text: the texts that the plan joins are what stands around a phrase."""
+    names = ["Robin", "Rob", "Al", "Alfie", "Alf", "Kit", "Kitty", "Saul", "Sauls", "O'Ned", "O'Neddy"]
+    rows = spark.createDataFrame([("b", k, f"e{k}", n, "character") for k, n in enumerate(names)], "book_id string, ord long, entity_id string, name string, type string")
+    texts = ["x" * 5000 + " Robin, who was called rob by all. " + "y " * 3000, "Alfie. He was known as Alf", "ALF-called-alfie", "Kitty goes by Kit", "Saul went by nobody. Sauls", "(O'Neddy) or simply O'Ned!", "Kitty " + "z" * 60 + " nicknamed Kit", None, ""]
+    chapters = chapters_of(spark, *texts)
+    naming = r"\b[^.!?]{0,40}?\b(?:called|nicknamed|known as|goes by|went by|short for|or just|or simply)\b[^.!?]{0,25}?\b"
+    fold = lambda t: (t or "").replace("K", "K")
+    states = lambda x, y: any(re.search(rf"(?i)\b{re.escape(x)}{naming}{re.escape(y)}\b", fold(t)) for t in texts)
+    wanted = {(f"e{i}", f"e{j}") for i, a in enumerate(names) for j, b in enumerate(names) if len(a) >= 3 and len(b) > len(a) and b.lower().startswith(a.lower()) and (states(a, b) or states(b, a))}
+    found = registry.stated_variants(rows, chapters)
+    assert {(r.a, r.b) for r in found.collect()} == wanted and len(wanted) == 4
+    assert "text#" not in "".join(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
